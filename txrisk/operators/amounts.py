@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.operators.quantiles import exact_quantiles, quantile_columns
+from txrisk.operators.rows import merge_rows
 from txrisk.spec import RiskSpec
 
 
@@ -26,10 +27,7 @@ def amount_stats(
             *moments,
         )
 
-    # Two one-row results brought together; what nobody reads is pruned.
-    quantiles = quantile_columns(
-        exact_quantiles(df, F.col("amount"), [lower, upper], accuracy=accuracy),
-        {lower: names[0], upper: names[1]},
+    quantiles = exact_quantiles(df, F.col("amount"), [lower, upper], accuracy=accuracy)
+    return merge_rows(
+        quantile_columns(quantiles, {lower: names[0], upper: names[1]}), df.agg(*moments)
     )
-    parts = quantiles.unionByName(df.agg(*moments), allowMissingColumns=True)
-    return parts.agg(*[F.max(c).alias(c) for c in (*names, "avg_amount", "stddev_amount")])
