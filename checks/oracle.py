@@ -362,6 +362,12 @@ FROM (SELECT *, lag(transaction_id) OVER w AS previous_transaction_id,
       FROM tx WINDOW w AS (PARTITION BY user_id ORDER BY "timestamp", transaction_id))
 WHERE country <> previous_country AND sec - previous_sec <= 3600"""
 )
+_ALL_SCORED = on_scored(f"SELECT {_cols(SCORED_COLUMNS)} FROM scored")
+_TIMELINE = on_scored(
+        """SELECT user_id, "timestamp", transaction_id, amount, country, device, channel, risk_score,
+        risk_level, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY "timestamp", transaction_id)
+        AS gap_seconds FROM scored"""
+    )
 _FREQUENCY = on_behaviour("SELECT transaction_id, user_id, txn_count_1hr, txn_count_24hr FROM freq")
 
 
@@ -450,7 +456,8 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
         ),
         "indicators": on_scored(f"SELECT transaction_id, {_cols(FLAGS)} FROM scored"),
         "risk_scores": on_scored("SELECT transaction_id, risk_score, risk_level FROM scored"),
-        "scored_transactions": on_scored(f"SELECT {_cols(SCORED_COLUMNS)} FROM scored"),
+        "scored_transactions": _ALL_SCORED,
+        "scored_transactions_hot_users": _ALL_SCORED,
         "level_counts": on_scored(
             """SELECT count(*) AS total_transactions, count(*) FILTER (risk_level = 'High') AS high_risk,
             count(*) FILTER (risk_level = 'Medium') AS medium_risk,
@@ -498,11 +505,8 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
             FROM scored GROUP BY risk_level"""
         ),
         "customer_profile": on_scored(_PROFILE),
-        "customer_timeline": on_scored(
-            """SELECT user_id, "timestamp", transaction_id, amount, country, device, channel, risk_score,
-            risk_level, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY "timestamp", transaction_id)
-            AS gap_seconds FROM scored"""
-        ),
+        "customer_timeline": _TIMELINE,
+        "customer_timeline_hot_users": _TIMELINE,
         "top_risk_per_user": on_scored(_WORST),
         "indicator_prevalence": _prevalence(),
         "indicator_combinations": on_scored(

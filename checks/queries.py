@@ -24,11 +24,8 @@ from txrisk.operators.frequency import txn_frequency
 from txrisk.plans import investigate as inv
 from txrisk.plans import report, triage
 from txrisk.plans.scoring import score, stats_struct, with_behaviour
-from txrisk.schema import (
-    BEHAVIOUR_COLUMNS,
-    INDICATOR_COLUMNS,
-    TRANSACTION_COLUMNS,
-)
+from txrisk.schema import BEHAVIOUR_COLUMNS, INDICATOR_COLUMNS, TRANSACTION_COLUMNS
+from txrisk.sources.staging import stage
 from txrisk.spec import SkewPolicy
 
 EVERY_KEY_HOT = SkewPolicy(min_rows=0)
@@ -65,7 +62,7 @@ def _table_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     tables = {
         "transactions": tx,
-        "scored_transactions": score(tx),
+        "scored_transactions": scored(spark, sf_dir),
         "documents": spark.read.parquet(f"{sf_dir}/documents.parquet"),
         "labels": spark.read.parquet(f"{sf_dir}/labels.parquet"),
     }
@@ -74,7 +71,7 @@ def _table_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
-    explained = inv.explain(score(tx, exact=True), stats_struct(tx, exact=True))
+    explained = inv.explain(scored(spark, sf_dir), stats_struct(tx, exact=True))
     return explained.select("transaction_id", "risk_score", "risk_level", F.inline("factors"))
 
 
@@ -102,6 +99,7 @@ def _flat_users(df: DataFrame) -> DataFrame:
 
 
 FromRows = Callable[[DataFrame], DataFrame]
+FromTables = Callable[[SparkSession, str], DataFrame]
 
 # Queries over the transactions.
 ON_TRANSACTIONS: dict[str, FromRows] = {
@@ -146,11 +144,18 @@ ON_TRANSACTIONS: dict[str, FromRows] = {
     "amount_anomalies": lambda tx: inv.amount_anomalies(tx, stats_struct(tx, exact=True)),
 }
 
-# Queries over the scored table.
+# The score itself, computed from the transactions.
+SCORING: dict[str, FromRows] = {
+    "indicators": lambda tx: score(tx, exact=True).select("transaction_id", *INDICATOR_COLUMNS),
+    "risk_scores": lambda tx: score(tx, exact=True).select(
+        "transaction_id", "risk_score", "risk_level"
+    ),
+    "scored_transactions": lambda tx: score(tx, exact=True),
+    "scored_transactions_hot_users": lambda tx: score(tx, exact=True, policy=EVERY_KEY_HOT),
+}
+
+# Queries over the stored scored table.
 ON_SCORED: dict[str, FromRows] = {
-    "indicators": lambda s: s.select("transaction_id", *INDICATOR_COLUMNS),
-    "risk_scores": lambda s: s.select("transaction_id", "risk_score", "risk_level"),
-    "scored_transactions": lambda s: s,
     "level_counts": triage.level_counts,
     "top20_risk": triage.top_risk,
     "high_risk_rows": triage.rows_of_level,
@@ -165,6 +170,7 @@ ON_SCORED: dict[str, FromRows] = {
     "results_by_level": inv.results_by_level,
     "customer_profile": inv.customer_profile,
     "customer_timeline": inv.customer_timeline,
+    "customer_timeline_hot_users": lambda s: inv.customer_timeline(s, policy=EVERY_KEY_HOT),
     "top_risk_per_user": inv.top_risk_per_user,
     "indicator_prevalence": inv.indicator_prevalence,
     "indicator_combinations": inv.indicator_combinations,
@@ -193,17 +199,25 @@ ON_TYPED_POSTINGS: dict[str, FromRows] = {
     "dedup_audit": prepare.dedup_audit,
 }
 
-WHOLE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+# Queries over several tables.
+ON_TABLES: dict[str, FromTables] = {
     "table_links": _table_links,
     "explain_transaction": _explained,
 }
 
 
-def _on(source: Callable[[SparkSession, str], DataFrame], query: FromRows):
-    return _in_utc(lambda spark, sf_dir: query(source(spark, sf_dir)))
+_stored: dict[tuple[str, str], DataFrame] = {}
 
 
-def _in_utc(query: Callable[[SparkSession, str], DataFrame]):
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scored table, written once per session and scale like any stored table."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _stored:
+        _stored[key] = stage(score(transactions(spark, sf_dir), exact=True), "scored")
+    return _stored[key]
+
+
+def _in_utc(query: FromTables) -> FromTables:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         spark.conf.set("spark.sql.session.timeZone", "UTC")
         return query(spark, sf_dir)
@@ -211,18 +225,18 @@ def _in_utc(query: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
-def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return score(transactions(spark, sf_dir), exact=True)
+def _on(source: FromTables, query: FromRows) -> FromTables:
+    return lambda spark, sf_dir: query(source(spark, sf_dir))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, FromTables]:
     groups = [
         (transactions, ON_TRANSACTIONS),
+        (transactions, SCORING),
         (scored, ON_SCORED),
         (postings, ON_POSTINGS),
         (typed_postings, ON_TYPED_POSTINGS),
     ]
     found = {name: _on(source, q) for source, group in groups for name, q in group.items()}
-    for name, query in WHOLE.items():
-        found[name] = _in_utc(query)
-    return found
+    found.update(ON_TABLES)
+    return {name: _in_utc(query) for name, query in found.items()}
