@@ -33,6 +33,9 @@ def replace_table(df: DataFrame, table: str, by_month: bool = False) -> None:
     write_table(df, staging, by_month)
     spark.sql(f"DROP TABLE IF EXISTS {table}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    if by_month:
+        # Some catalogs still list the partitions under the staging location.
+        spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
 
 
 def list_tables(spark: SparkSession, database: str = "default") -> DataFrame:
