@@ -1,75 +1,78 @@
-"""The nine risk indicators, each with what it looks at and its threshold."""
+"""The nine risk indicators, each with what it looks at and its threshold.
+
+The parts are SQL expressions over the transaction and behaviour columns and the
+statistics columns of ``STATS``.
+"""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
 from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 from txrisk.spec import RiskSpec
 
+STATS = {"p95_amount": "_p95", "avg_amount": "_mean", "stddev_amount": "_stddev"}
+
 
 @dataclass(frozen=True)
 class Indicator:
     name: str
     weight: int
-    fires: Column
-    observed: Column
-    threshold: Column
+    fires: str
+    observed: str
+    threshold: str
 
     @property
     def column(self) -> str:
         return f"indicator_{self.name}"
 
     @property
-    def flag(self) -> Column:
+    def flag(self) -> str:
         """0/1; a comparison with NULL does not fire."""
-        return F.when(self.fires, 1).otherwise(0).alias(self.column)
+        return f"CASE WHEN {self.fires} THEN 1 ELSE 0 END AS {self.column}"
+
+
+def stats_columns(stats: Column) -> list[Column]:
+    """The fields of the statistics struct under the names the indicators use."""
+    return [stats[field].alias(name) for field, name in STATS.items()]
 
 
-def indicators(spec: RiskSpec, stats: Column) -> list[Indicator]:
-    """``stats`` is a struct with p95_amount, avg_amount and stddev_amount."""
-    amount = F.col("amount")
-    extreme = stats["avg_amount"] + F.lit(spec.amount_sigmas) * stats["stddev_amount"]
+def indicators(spec: RiskSpec) -> list[Indicator]:
+    extreme = f"_mean + {spec.amount_sigmas} * _stddev"
+
+    def make(name: str, fires: str, observed: str, threshold: str) -> Indicator:
+        return Indicator(name, spec.weights[name], fires, observed, threshold)
 
     def at_least(name: str, column: str, minimum: int) -> Indicator:
-        return _make(spec, name, F.col(column) >= minimum, F.col(column), F.lit(minimum))
+        return make(name, f"{column} >= {minimum}", column, str(minimum))
 
     def differs(name: str, column: str, usual: str) -> Indicator:
-        return _make(spec, name, F.col(column) != F.col(usual), F.col(column), F.col(usual))
+        return make(name, f"{column} != {usual}", column, usual)
 
-    hour = F.col("hour")
     return [
-        _make(spec, "high_amount", amount > stats["p95_amount"], _money(amount), _money(stats["p95_amount"])),
-        _make(spec, "extreme_amount", amount > extreme, _money(amount), _money(extreme)),
+        make("high_amount", "amount > _p95", _money("amount"), _money("_p95")),
+        make("extreme_amount", f"amount > {extreme}", _money("amount"), _money(extreme)),
         at_least("high_frequency_1hr", "txn_count_1hr", spec.min_count_1hr),
         at_least("high_frequency_24hr", "txn_count_24hr", spec.min_count_24hr),
         at_least("multiple_countries", "distinct_countries_user", spec.min_countries),
         differs("unusual_country", "country", "user_primary_country"),
         at_least("multiple_devices", "distinct_devices_user", spec.min_devices),
         differs("unusual_device", "device", "user_primary_device"),
-        _make(
-            spec,
+        make(
             "unusual_hour",
-            (hour >= spec.night_from) & (hour < spec.night_before),
-            hour,
-            F.lit(f"{spec.night_from}-{spec.night_before}"),
+            f"hour >= {spec.night_from} AND hour < {spec.night_before}",
+            "hour",
+            f"'{spec.night_from}-{spec.night_before}'",
         ),
     ]
 
 
-def risk_score(spec: RiskSpec) -> Column:
-    total = sum(
-        (F.col(f"indicator_{name}") * weight for name, weight in spec.weights.items()), F.lit(0)
-    )
-    return F.least(F.lit(spec.max_score), total).alias("risk_score")
-
-
-def _make(spec, name, fires, observed, threshold) -> Indicator:
-    return Indicator(name, spec.weights[name], fires, observed.cast("string"), threshold.cast("string"))
+def risk_score(spec: RiskSpec) -> str:
+    points = " + ".join(f"indicator_{name} * {weight}" for name, weight in spec.weights.items())
+    return f"least({spec.max_score}, {points}) AS risk_score"
 
 
-def _money(value: Column) -> Column:
+def _money(value: str) -> str:
     """Two decimals, NULL for NaN."""
-    return F.when(~F.isnan(value), F.round(value, 2)).try_cast("decimal(38,2)")
+    return f"try_cast(CASE WHEN NOT isnan({value}) THEN round({value}, 2) END AS decimal(38,2))"

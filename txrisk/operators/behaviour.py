@@ -34,23 +34,16 @@ def user_profile(df: DataFrame) -> DataFrame:
     """
     combos = df.groupBy("user_id", "country", "device").agg(F.count("*").alias("n"))
     legs = (
-        combos.select(
-            "user_id",
-            F.explode(
-                F.array(
-                    F.struct(F.lit(True).alias("is_country"), F.col("country").alias("value"), "n"),
-                    F.struct(F.lit(False).alias("is_country"), F.col("device").alias("value"), "n"),
-                )
-            ).alias("leg"),
+        combos.selectExpr(
+            "user_id", "n", "stack(2, true, country, false, device) AS (is_country, value)"
         )
-        .groupBy("user_id", F.col("leg.is_country").alias("is_country"), F.col("leg.value").alias("value"))
-        .agg(F.sum("leg.n").alias("n"))
+        .groupBy("user_id", "is_country", "value")
+        .agg(F.sum("n").alias("n"))
     )
-    ranked = F.struct((-F.col("n")).alias("rank"), F.col("value"))
-    country, device = F.col("is_country"), ~F.col("is_country")
+    best = "min(CASE WHEN {0} THEN named_struct('rank', -n, 'value', value) END).value"
     return legs.groupBy("user_id").agg(
-        F.count(F.when(country, F.col("value"))).alias("distinct_countries_user"),
-        F.count(F.when(device, F.col("value"))).alias("distinct_devices_user"),
-        F.min(F.when(country, ranked))["value"].alias("user_primary_country"),
-        F.min(F.when(device, ranked))["value"].alias("user_primary_device"),
+        F.expr("count(CASE WHEN is_country THEN value END) AS distinct_countries_user"),
+        F.expr("count(CASE WHEN NOT is_country THEN value END) AS distinct_devices_user"),
+        F.expr(f"{best.format('is_country')} AS user_primary_country"),
+        F.expr(f"{best.format('NOT is_country')} AS user_primary_device"),
     )

@@ -36,68 +36,48 @@ def trailing_by_second(df: DataFrame, windows: dict[str, int], key: str = "user_
     604,800 distinct seconds each) and gets the total of the earlier bins added.
     The rows then look their second up; adaptive execution can split that join.
     """
-    second = F.unix_timestamp("timestamp")
     names = list(windows)
-    per_second = df.groupBy(F.col(key).alias("_key"), second.alias("_sec")).agg(
-        F.count("*").alias("_n")
-    )
-
-    def change(at, deltas, arrival):
-        return F.struct(
-            at.alias("at"),
-            *[delta.alias(name) for name, delta in zip(names, deltas)],
-            F.lit(arrival).alias("arrival"),
-        )
+    per_second = df.groupBy(
+        F.col(key).alias("_key"), F.expr("unix_timestamp(timestamp) AS _sec")
+    ).agg(F.count("*").alias("_n"))
 
-    n, zero = F.col("_n"), F.lit(0).cast("bigint")
-    moves = [change(F.col("_sec"), [n] * len(names), True)] + [
-        change(F.col("_sec") + seconds + 1, [-n if other == name else zero for other in names], False)
+    # (when, change per frame, is it an arrival)
+    moves = [["_sec", *["_n"] * len(names), "true"]] + [
+        [f"_sec + {seconds + 1}", *["-_n" if other == name else "0L" for other in names], "false"]
         for name, seconds in windows.items()
     ]
+    stacked = ", ".join(value for move in moves for value in move)
     changes = (
-        per_second.select("_key", F.explode(F.array(*moves)).alias("m"))
-        .select("_key", "m.*")
-        .filter(F.col("arrival") | F.col("at").isNotNull())
-        .groupBy("_key", "at")
-        .agg(*[F.sum(name).alias(name) for name in names], F.max("arrival").alias("arrival"))
-        .withColumn("_bin", F.floor(F.col("at") / SECONDS_PER_BIN))
+        per_second.selectExpr(
+            "_key", f"stack({len(moves)}, {stacked}) AS (_at, {', '.join(names)}, _arrival)"
+        )
+        .filter("_arrival OR _at IS NOT NULL")
+        .groupBy("_key", "_at")
+        .agg(*[F.sum(name).alias(name) for name in names], F.max("_arrival").alias("_arrival"))
+        .selectExpr("*", f"floor(_at / {SECONDS_PER_BIN}) AS _bin")
     )
 
-    inside = Window.partitionBy("_key", "_bin").orderBy("at")
-    running = changes.select(
-        "_key", "at", "_bin", "arrival",
-        *[F.sum(name).over(inside).alias(name) for name in names],
-    ).filter("arrival")
-    earlier = (
-        Window.partitionBy("_carry_key")
-        .orderBy("_carry_bin")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
+    inside = "OVER (PARTITION BY _key, _bin ORDER BY _at)"
+    running = changes.selectExpr(
+        "_key", "_at", "_bin", "_arrival", *[f"sum({name}) {inside} AS {name}" for name in names]
+    ).filter("_arrival")
+    earlier = """OVER (PARTITION BY _carry_key ORDER BY _carry_bin
+                  ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
     carried = (
-        changes.filter(F.col("at").isNotNull())
+        changes.filter("_at IS NOT NULL")
         .groupBy(F.col("_key").alias("_carry_key"), F.col("_bin").alias("_carry_bin"))
         .agg(*[F.sum(name).alias(f"_{name}") for name in names])
-        .select(
-            "_carry_key", "_carry_bin",
-            *[F.sum(f"_{name}").over(earlier).alias(f"_{name}") for name in names],
+        .selectExpr(
+            "_carry_key", "_carry_bin", *[f"sum(_{name}) {earlier} AS _{name}" for name in names]
         )
     )
     counts = running.join(
-        carried,
-        F.col("_key").eqNullSafe(F.col("_carry_key")) & (F.col("_bin") == F.col("_carry_bin")),
-        "left",
-    ).select(
-        "_key",
-        F.col("at").alias("_at"),
-        *[
-            (F.col(name) + F.coalesce(F.col(f"_{name}"), zero) - 1).alias(name)
-            for name in names
-        ],
+        carried, F.expr("_key <=> _carry_key AND _bin = _carry_bin"), "left"
+    ).selectExpr(
+        "_key", "_at", *[f"{name} + coalesce(_{name}, 0) - 1 AS {name}" for name in names]
     )
     looked_up = df.join(
-        counts,
-        F.col(key).eqNullSafe(F.col("_key")) & second.eqNullSafe(F.col("_at")),
-        "left",
+        counts, F.expr(f"{key} <=> _key AND unix_timestamp(timestamp) <=> _at"), "left"
     )
     return looked_up.select(*df.columns, *names)
 

@@ -11,6 +11,7 @@ from txrisk.spec import SkewPolicy
 ORDER = ["timestamp", "transaction_id"]
 SECONDS_PER_BIN = 7 * 86400
 IDS_PER_BLOCK = 65536
+LOWEST_BLOCK = -(2**62)  # rows without an id come first
 
 
 def previous_by_window(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -18,54 +19,49 @@ def previous_by_window(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.select("*", F.lag(F.struct(*ORDER, *columns)).over(by_time).alias("previous"))
 
 
-def previous_by_slot(df: DataFrame, columns: list[str]) -> DataFrame:
+# Nested groups of a user's rows, outermost first. Each level has a bounded number
+# of members in a group of the level above: weeks of a history, seconds of a week,
+# microseconds of a second, blocks of ids at one time, ids of a block.
+LEVELS = [["user_id"], ["_timed", "_week"], ["_second"], ["_time"], ["_block"]]
+
+
+def previous_by_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     """The same for users of any size.
 
-    A user's rows are cut into slots: one per second, and for rows without a
-    time one per block of ids. Inside a slot the row before is found by a window.
-    The first row of a slot takes the last row of the slot before, found among
-    one row per slot and week; the first slot of a week takes the last row of the
-    week before, found among one row per week.
+    Inside a group the member before is found by a window over its bounded
+    members; the first member takes the last row of the group before, found in
+    the same way one level up.
     """
-    second = F.unix_timestamp("timestamp")
-    timed = df.select(
-        "*",
-        F.struct(*ORDER, *columns).alias("_row"),
-        second.isNotNull().alias("_timed"),
-        F.coalesce(second, F.lit(0)).alias("_sec"),
-        F.when(second.isNull(), F.floor(F.col("transaction_id") / IDS_PER_BLOCK))
-        .otherwise(0)
-        .alias("_block"),
-    ).withColumn("_block", F.coalesce("_block", F.lit(-(2**62))))
-    slot = ["user_id", "_timed", "_sec", "_block"]
-    week = ["user_id", "_timed", "_bin"]
-
-    slots = (
-        timed.groupBy(*slot)
-        .agg(F.max("_row").alias("_last"))
-        .withColumn(
-            "_bin",
-            F.when(F.col("_timed"), F.floor(F.col("_sec") / SECONDS_PER_BIN)).otherwise(
-                F.floor(F.col("_block") / IDS_PER_BLOCK)
-            ),
+    keyed = (
+        df.select("*", F.struct(*ORDER, *columns).alias("_row"))
+        .selectExpr(
+            "*",
+            "timestamp IS NOT NULL AS _timed",
+            "coalesce(unix_timestamp(timestamp), 0) AS _second",
+            "coalesce(timestamp, timestamp_seconds(0)) AS _time",
+            f"coalesce(floor(transaction_id / {IDS_PER_BLOCK}), {LOWEST_BLOCK}) AS _block",
         )
+        .selectExpr("*", f"floor(_second / {SECONDS_PER_BIN}) AS _week")
     )
-    weeks = slots.groupBy(*week).agg(
-        F.max(F.struct("_sec", "_block", "_last"))["_last"].alias("_week_last")
-    )
-    in_week = Window.partitionBy(*week).orderBy("_sec", "_block")
-    of_user = Window.partitionBy("user_id").orderBy("_timed", "_bin")
-    before_week = weeks.select(*week, F.lag("_week_last").over(of_user).alias("_before_week"))
-    before_slot = (
-        slots.select(*slot, "_bin", F.lag("_last").over(in_week).alias("_in_week"))
-        .join(before_week, week)
-        .select(*slot, F.coalesce("_in_week", "_before_week").alias("_before_slot"))
-    )
-    in_slot = Window.partitionBy(*slot).orderBy(*ORDER)
-    return (
-        timed.select("*", F.lag("_row").over(in_slot).alias("_in_slot"))
-        .join(before_slot, slot)
-        .select(*df.columns, F.coalesce("_in_slot", "_before_slot").alias("previous"))
+    before: DataFrame | None = None
+    for depth in range(1, len(LEVELS)):
+        outer = [c for level in LEVELS[:depth] for c in level]
+        inner = outer + LEVELS[depth]
+        members = keyed.groupBy(*inner).agg(F.max("_row").alias("_last"))
+        lag = F.lag("_last").over(Window.partitionBy(*outer).orderBy(*LEVELS[depth]))
+        found = members.select(*inner, lag.alias("_before"))
+        before = found if before is None else _or_from_above(found, before, outer, inner)
+    by_id = Window.partitionBy(*inner).orderBy(*ORDER)
+    rows = keyed.select(*df.columns, *inner[1:], F.lag("_row").over(by_id).alias("_before"))
+    return _or_from_above(rows, before, inner, df.columns).withColumnRenamed("_before", "previous")
+
+
+def _or_from_above(
+    members: DataFrame, groups: DataFrame, keys: list[str], keep: list[str]
+) -> DataFrame:
+    above = groups.withColumnRenamed("_before", "_above")
+    return members.join(above, keys).select(
+        *keep, F.coalesce("_before", "_above").alias("_before")
     )
 
 
@@ -78,4 +74,4 @@ def previous_row(
     if policy is None:
         return previous_by_window(owned, columns)
     ordinary, hot = split_hot(owned, "user_id", policy)
-    return previous_by_window(ordinary, columns).unionByName(previous_by_slot(hot, columns))
+    return previous_by_window(ordinary, columns).unionByName(previous_by_levels(hot, columns))

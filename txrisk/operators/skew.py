@@ -30,5 +30,5 @@ def hot_keys(df: DataFrame, key: str, policy: SkewPolicy) -> DataFrame:
 def split_hot(df: DataFrame, key: str, policy: SkewPolicy) -> tuple[DataFrame, DataFrame]:
     """``(ordinary rows, rows of hot keys)``; a NULL key is a key like any other."""
     hot = F.broadcast(hot_keys(df, key, policy))
-    same = F.col(key).eqNullSafe(F.col(HOT_KEY))
+    same = F.expr(f"{key} <=> {HOT_KEY}")
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.functions.bands import percent, ratio
-from txrisk.functions.indicators import indicators
+from txrisk.functions.indicators import indicators, stats_columns
 from txrisk.operators.deviation import habits
 from txrisk.operators.quantiles import exact_quantiles, quantile_columns
 from txrisk.operators.rows import merge_rows
@@ -266,24 +266,16 @@ def top_risk_per_user(scored: DataFrame, n: int = 3) -> DataFrame:
 # --- single transactions -----------------------------------------------------
 
 
-def fired(spec: RiskSpec, stats: Column) -> Column:
+def fired(spec: RiskSpec) -> str:
     """Array of the indicators that fired, with weight, observed value and threshold."""
-    return F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    F.col(i.column) == 1,
-                    F.struct(
-                        F.lit(i.name).alias("indicator"),
-                        F.lit(i.weight).alias("weight"),
-                        i.observed.alias("observed"),
-                        i.threshold.alias("threshold"),
-                    ),
-                )
-                for i in indicators(spec, stats)
-            ]
-        )
-    )
+    factors = [
+        f"""CASE WHEN {i.column} = 1 THEN named_struct(
+            'indicator', '{i.name}', 'weight', {i.weight},
+            'observed', CAST({i.observed} AS STRING), 'threshold', CAST({i.threshold} AS STRING)
+        ) END"""
+        for i in indicators(spec)
+    ]
+    return f"array_compact(array({', '.join(factors)}))"
 
 
 def explain(scored: DataFrame, stats: Column, spec: RiskSpec = RiskSpec()) -> DataFrame:
@@ -291,8 +283,8 @@ def explain(scored: DataFrame, stats: Column, spec: RiskSpec = RiskSpec()) -> Da
 
     ``stats`` is the struct of ``stats_struct`` for the table the score came from.
     """
-    return scored.select(
-        "transaction_id", "risk_score", "risk_level", fired(spec, stats).alias("factors")
+    return scored.select("*", *stats_columns(stats)).selectExpr(
+        "transaction_id", "risk_score", "risk_level", f"{fired(spec)} AS factors"
     )
 
 
@@ -315,17 +307,20 @@ def amount_anomalies(
     policy: SkewPolicy | None = SkewPolicy(),
 ) -> DataFrame:
     """Rows with an amount that is high for the table or for the user."""
-    amount = F.col("amount")
-    extreme = stats["avg_amount"] + F.lit(spec.amount_sigmas) * stats["stddev_amount"]
     tests = {
-        "above_p95": amount > stats["p95_amount"],
-        "above_extreme": amount > extreme,
-        "above_user_z": F.col("amount_z") > max_z,
+        "above_p95": "amount > _p95",
+        "above_extreme": f"amount > _mean + {spec.amount_sigmas} * _stddev",
+        "above_user_z": f"amount_z > {max_z}",
     }
     rows = df.select("transaction_id", "user_id", "amount")
     return (
         habits(rows, policy=policy)
-        .select("*", *[F.when(test, 1).otherwise(0).alias(name) for name, test in tests.items()])
+        .select("*", *stats_columns(stats))
+        .selectExpr(
+            *rows.columns,
+            "amount_z",
+            *[f"CASE WHEN {test} THEN 1 ELSE 0 END AS {name}" for name, test in tests.items()],
+        )
         .filter(" OR ".join(f"{name} = 1" for name in tests))
     )
 

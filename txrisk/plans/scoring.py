@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from txrisk.functions.bands import band
-from txrisk.functions.indicators import indicators, risk_score
+from txrisk.functions.indicators import indicators, risk_score, stats_columns
 from txrisk.operators.amounts import amount_stats
 from txrisk.operators.behaviour import user_profile
 from txrisk.operators.frequency import trailing_by_second, trailing_by_window
@@ -42,9 +42,9 @@ def with_behaviour(
                 )
             )
         )
-    known = F.col("user_id").isNotNull() & F.col("transaction_id").isNotNull()
-    return joined.select(
-        *df.columns, *[F.when(known, F.col(c)).alias(c) for c in BEHAVIOUR_COLUMNS]
+    known = "user_id IS NOT NULL AND transaction_id IS NOT NULL"
+    return joined.selectExpr(
+        *df.columns, *[f"CASE WHEN {known} THEN {c} END AS {c}" for c in BEHAVIOUR_COLUMNS]
     )
 
 
@@ -56,10 +56,6 @@ def stats_struct(
     return stats.select(F.struct("p95_amount", "avg_amount", "stddev_amount").alias("stats")).scalar()
 
 
-def with_indicators(df: DataFrame, spec: RiskSpec, stats: Column) -> DataFrame:
-    return df.select("*", *[i.flag for i in indicators(spec, stats)])
-
-
 def score(
     df: DataFrame,
     spec: RiskSpec = RiskSpec(),
@@ -68,9 +64,13 @@ def score(
     policy: SkewPolicy | None = SkewPolicy(),
 ) -> DataFrame:
     """The 29 columns of the scored table; expects unique transaction ids."""
-    flagged = with_indicators(
-        with_behaviour(df, spec, policy), spec, stats_struct(df, spec, exact, accuracy)
+    stats = stats_struct(df, spec, exact, accuracy)
+    flags = [indicator.flag for indicator in indicators(spec)]
+    return (
+        with_behaviour(df, spec, policy)
+        .select("*", *stats_columns(stats))
+        .selectExpr("*", *flags)
+        .selectExpr("*", risk_score(spec))
+        .withColumn("risk_level", band(F.col("risk_score"), spec.bands))
+        .select(SCORED_COLUMNS)
     )
-    return flagged.select(
-        "*", risk_score(spec)
-    ).select("*", band(F.col("risk_score"), spec.bands).alias("risk_level")).select(*SCORED_COLUMNS)
