@@ -12,12 +12,12 @@ from pyspark.sql import functions as F
 from txrisk.operators.skew import split_hot
 from txrisk.spec import RiskSpec, SkewPolicy
 
-SECONDS_PER_BIN = 7 * 86400
+SECONDS_PER_BIN = 86400
 
 
-def trailing_by_window(df: DataFrame, windows: dict[str, int], key: str = "user_id") -> DataFrame:
-    """One shuffle and one sort for all frames; for keys that fit one task."""
-    order = Window.partitionBy(key).orderBy(F.unix_timestamp("timestamp"))
+def trailing_by_window(df: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """One shuffle and one sort for all frames; for users that fit one task."""
+    order = Window.partitionBy("user_id").orderBy(F.unix_timestamp("timestamp"))
     return df.select(
         "*",
         *[
@@ -27,58 +27,59 @@ def trailing_by_window(df: DataFrame, windows: dict[str, int], key: str = "user_
     )
 
 
-def trailing_by_second(df: DataFrame, windows: dict[str, int], key: str = "user_id") -> DataFrame:
-    """The same counts for keys of any size.
+# Whose and when, without NULLs, so that windows and joins share a partitioning.
+USER = ["user_id IS NOT NULL AS _known", "coalesce(user_id, 0) AS _user"]
+WHEN = ["timestamp IS NOT NULL AS _timed", "coalesce(unix_timestamp(timestamp), 0) AS _at"]
+MOMENT = ["_known", "_user", "_timed", "_at"]
 
-    Rows are first counted per key and second. Each such count enters the frame
-    at its second and leaves it ``seconds + 1`` later, so the frame's content is
-    a running sum of these changes. The sum runs inside bins of a week (at most
-    604,800 distinct seconds each) and gets the total of the earlier bins added.
+
+def trailing_by_second(df: DataFrame, windows: dict[str, int]) -> DataFrame:
+    """The same counts for users of any size.
+
+    A row enters the frame at its second and leaves it ``seconds + 1`` later, so
+    the frame's content is a running sum of such changes. They are added up per
+    user and second before the shuffle. The running sum goes over bins of a day
+    (at most 86,400 seconds each) and gets the total of the earlier bins added.
     The rows then look their second up; adaptive execution can split that join.
     """
     names = list(windows)
-    per_second = df.groupBy(
-        F.col(key).alias("_key"), F.expr("unix_timestamp(timestamp) AS _sec")
-    ).agg(F.count("*").alias("_n"))
-
     # (when, change per frame, is it an arrival)
-    moves = [["_sec", *["_n"] * len(names), "true"]] + [
-        [f"_sec + {seconds + 1}", *["-_n" if other == name else "0L" for other in names], "false"]
+    moves = [["_at", *["1L"] * len(names), "true"]] + [
+        [f"_at + {seconds + 1}", *["-1L" if other == name else "0L" for other in names], "false"]
         for name, seconds in windows.items()
     ]
     stacked = ", ".join(value for move in moves for value in move)
     changes = (
-        per_second.selectExpr(
-            "_key", f"stack({len(moves)}, {stacked}) AS (_at, {', '.join(names)}, _arrival)"
+        df.selectExpr(*USER, *WHEN)
+        .selectExpr(
+            "_known", "_user", "_timed",
+            f"stack({len(moves)}, {stacked}) AS (_at, {', '.join(names)}, _arrival)",
         )
-        .filter("_arrival OR _at IS NOT NULL")
-        .groupBy("_key", "_at")
+        .filter("_arrival OR _timed")
+        .groupBy(*MOMENT)
         .agg(*[F.sum(name).alias(name) for name in names], F.max("_arrival").alias("_arrival"))
         .selectExpr("*", f"floor(_at / {SECONDS_PER_BIN}) AS _bin")
     )
 
-    inside = "OVER (PARTITION BY _key, _bin ORDER BY _at)"
+    inside = "OVER (PARTITION BY _known, _user, _timed, _bin ORDER BY _at)"
     running = changes.selectExpr(
-        "_key", "_at", "_bin", "_arrival", *[f"sum({name}) {inside} AS {name}" for name in names]
+        *MOMENT, "_bin", "_arrival", *[f"sum({name}) {inside} AS {name}" for name in names]
     ).filter("_arrival")
-    earlier = """OVER (PARTITION BY _carry_key ORDER BY _carry_bin
+    earlier = """OVER (PARTITION BY _known, _user, _timed ORDER BY _bin
                   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"""
+    # The same columns as above are read, so that Spark reuses the summed changes.
     carried = (
-        changes.filter("_at IS NOT NULL")
-        .groupBy(F.col("_key").alias("_carry_key"), F.col("_bin").alias("_carry_bin"))
-        .agg(*[F.sum(name).alias(f"_{name}") for name in names])
+        changes.groupBy("_known", "_user", "_timed", "_bin")
+        .agg(*[F.expr(f"sum(if(_arrival IS NULL, 0, {name})) AS _{name}") for name in names])
         .selectExpr(
-            "_carry_key", "_carry_bin", *[f"sum(_{name}) {earlier} AS _{name}" for name in names]
+            "_known", "_user", "_timed", "_bin",
+            *[f"coalesce(sum(_{name}) {earlier}, 0) AS _{name}" for name in names],
         )
     )
-    counts = running.join(
-        carried, F.expr("_key <=> _carry_key AND _bin = _carry_bin"), "left"
-    ).selectExpr(
-        "_key", "_at", *[f"{name} + coalesce(_{name}, 0) - 1 AS {name}" for name in names]
-    )
-    looked_up = df.join(
-        counts, F.expr(f"{key} <=> _key AND unix_timestamp(timestamp) <=> _at"), "left"
+    counts = running.join(carried, ["_known", "_user", "_timed", "_bin"]).selectExpr(
+        *MOMENT, *[f"{name} + _{name} - 1 AS {name}" for name in names]
     )
+    looked_up = df.selectExpr("*", *USER, *WHEN).join(counts, MOMENT, "left")
     return looked_up.select(*df.columns, *names)
 
 

@@ -9,7 +9,7 @@ from txrisk.operators.skew import split_hot
 from txrisk.spec import SkewPolicy
 
 ORDER = ["timestamp", "transaction_id"]
-SECONDS_PER_BIN = 7 * 86400
+SECONDS_PER_BIN = 86400
 IDS_PER_BLOCK = 65536
 LOWEST_BLOCK = -(2**62)  # rows without an id come first
 
@@ -20,9 +20,9 @@ def previous_by_window(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # Nested groups of a user's rows, outermost first. Each level has a bounded number
-# of members in a group of the level above: weeks of a history, seconds of a week,
+# of members in a group of the level above: days of a history, seconds of a day,
 # microseconds of a second, blocks of ids at one time, ids of a block.
-LEVELS = [["user_id"], ["_timed", "_week"], ["_second"], ["_time"], ["_block"]]
+LEVELS = [["user_id"], ["_timed", "_day"], ["_second"], ["_time"], ["_block"]]
 
 
 def previous_by_levels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -41,7 +41,7 @@ def previous_by_levels(df: DataFrame, columns: list[str]) -> DataFrame:
             "coalesce(timestamp, timestamp_seconds(0)) AS _time",
             f"coalesce(floor(transaction_id / {IDS_PER_BLOCK}), {LOWEST_BLOCK}) AS _block",
         )
-        .selectExpr("*", f"floor(_second / {SECONDS_PER_BIN}) AS _week")
+        .selectExpr("*", f"floor(_second / {SECONDS_PER_BIN}) AS _day")
     )
     before: DataFrame | None = None
     for depth in range(1, len(LEVELS)):
