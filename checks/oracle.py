@@ -256,7 +256,7 @@ _NEXT = """CASE {0} WHEN 'High' THEN 'escalation' WHEN 'Medium' THEN 'further re
 
 _PROFILE = """
 SELECT user_id, count(*) AS transaction_count, count(DISTINCT CAST("timestamp" AS DATE)) AS days_active,
-       round(sum(amount), 2) AS total_amount, round(avg(amount), 4) AS avg_amount,
+       round(sum(amount), 2) AS total_amount, round(round(sum(amount), 2) / count(amount), 4) AS avg_amount,
        max(amount) AS max_amount, count(DISTINCT country) AS distinct_countries,
        count(DISTINCT device) AS distinct_devices, min("timestamp") AS first_seen,
        max("timestamp") AS last_seen, max(risk_score) AS max_score,
@@ -313,7 +313,7 @@ def _comparison() -> str:
     shares = ", ".join(f"{_pct(f'sum({f})', 'count(*)')} AS {n}_percent" for n, f in zip(NAMES, FLAGS))
     return on_scored(
         f"""SELECT risk_level, count(*) AS transaction_count,
-        count(DISTINCT user_id) AS distinct_users, round(avg(amount), 4) AS avg_amount, {shares},
+        count(DISTINCT user_id) AS distinct_users, round(round(sum(amount), 2) / count(amount), 4) AS avg_amount, {shares},
         round(median(amount), 4) AS median_amount FROM scored GROUP BY risk_level"""
     )
 

@@ -30,3 +30,13 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
 def ratio(part: Column, whole: Column, digits: int = 4) -> Column:
     """``part / whole`` rounded; NULL on zero."""
     return F.round(F.try_divide(part.cast("double"), whole.cast("double")), digits)
+
+
+def money_total(amount: str = "amount") -> Column:
+    """A sum of money in cents, free of the noise of adding doubles."""
+    return F.round(F.sum(amount), 2)
+
+
+def money_mean(amount: str = "amount") -> Column:
+    """The mean of money, from its total in cents."""
+    return ratio(money_total(amount), F.count(amount))

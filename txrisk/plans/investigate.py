@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.functions.bands import percent, ratio
+from txrisk.functions.bands import money_mean, money_total, percent, ratio
 from txrisk.functions.indicators import indicators, stats_columns
 from txrisk.operators.deviation import habits
 from txrisk.operators.quantiles import exact_quantiles, quantile_columns
@@ -34,7 +34,7 @@ def monthly_count(df: DataFrame) -> DataFrame:
 
 
 def monthly_amount(df: DataFrame) -> DataFrame:
-    return _monthly(df).agg(F.round(F.sum("amount"), 2).alias("total_amount")).orderBy("month")
+    return _monthly(df).agg(money_total().alias("total_amount")).orderBy("month")
 
 
 def _monthly(df: DataFrame):
@@ -87,7 +87,7 @@ def results_by_level(scored: DataFrame) -> DataFrame:
         scored.groupBy("risk_level")
         .agg(
             F.count("*").alias("transaction_count"),
-            F.round(F.sum("amount"), 2).alias("total_amount"),
+            money_total().alias("total_amount"),
         )
         .withColumn("percentage", percent(F.col("transaction_count"), everything))
     )
@@ -152,8 +152,8 @@ def customer_profile(scored: DataFrame, indicator_counts: bool = False) -> DataF
     return scored.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
         F.count("*").alias("transaction_count"),
         F.count_distinct(F.to_date("timestamp")).alias("days_active"),
-        F.round(F.sum("amount"), 2).alias("total_amount"),
-        F.round(F.avg("amount"), 4).alias("avg_amount"),
+        money_total().alias("total_amount"),
+        money_mean().alias("avg_amount"),
         F.max("amount").alias("max_amount"),
         # Already counted per user by the score, so no further distinct is needed.
         F.max("distinct_countries_user").alias("distinct_countries"),
@@ -216,7 +216,7 @@ def behaviour_change(df: DataFrame, threshold: float = 2.0, days: int = 7) -> Da
         .groupBy("user_id", F.to_date("timestamp").alias("day"))
         .agg(
             F.count("*").alias("transaction_count"),
-            F.round(F.sum("amount"), 2).alias("total_amount"),
+            money_total().alias("total_amount"),
         )
     )
     ratios = daily.select(
@@ -443,7 +443,7 @@ def risk_comparison(scored: DataFrame) -> DataFrame:
     groups = scored.groupBy("risk_level").agg(
         n.alias("transaction_count"),
         F.count_distinct("user_id").alias("distinct_users"),
-        F.round(F.avg("amount"), 4).alias("avg_amount"),
+        money_mean().alias("avg_amount"),
         *[
             percent(F.sum(column), n).alias(f"{name}_percent")
             for name, column in zip(INDICATORS, INDICATOR_COLUMNS)
@@ -480,7 +480,7 @@ def coordinated_activity(
             F.count("*").alias("distinct_users"),
             F.sum("n").alias("transaction_count"),
             F.sum("risky").alias("risky_count"),
-            F.round(F.sum("amount"), 2).alias("total_amount"),
+            money_total().alias("total_amount"),
         )
         .filter((F.col("distinct_users") >= min_users) & (F.col("risky_count") >= min_risky))
         .select(F.col("slot.start").alias("window_start"), *place[1:], "distinct_users",
