@@ -38,5 +38,7 @@ def money_total(amount: str = "amount") -> Column:
 
 
 def money_mean(amount: str = "amount") -> Column:
-    """The mean of money, from its total in cents."""
-    return ratio(money_total(amount), F.count(amount))
+    """The mean of money, from its total in cents, rounded half up in decimal."""
+    total = money_total(amount).try_cast("decimal(28,2)")
+    count = F.count(amount).cast("decimal(20,0)")
+    return F.round(F.try_divide(total, count), 4).cast("double")
