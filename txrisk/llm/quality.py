@@ -22,7 +22,7 @@ FLOOR = 1e-4
 THRESHOLD = 0.7
 
 STATISTICS = (
-    "words symbols upper punctuation digits word_length variety top_word repeated_lines line_breaks long_words"
+    "words symbols upper punctuation digits word_length variety top_word line_breaks long_words"
 ).split()
 
 _KIND = np.zeros(256, np.int64)  # 0 other, 1 upper, 2 lower and beyond ASCII, 3 digit, 4 blank, 5 punctuation, 6 symbol
@@ -42,20 +42,19 @@ def statistics(text: bytes | None) -> list[float]:
     for w in words:
         counts[w] = counts.get(w, 0) + 1
     lines = [x for x in text.split(b"\n") if x.strip()]
-    shares = [
-        kinds[6] / size,
-        kinds[1] / max(1.0, kinds[1] + kinds[2]),
-        kinds[5] / size,
-        kinds[3] / size,
-        max(counts.values(), default=0) / max(1, n),
-        1 - len(set(lines)) / max(1, len(lines)),
-        len(lines) / max(1, n),
-        sum(1 for w in words if len(w) > 20) / max(1, n),
+    shares = [  # of a little more than there is, so that a few words are not taken for a pattern
+        kinds[6] / (size + 50),
+        kinds[1] / (kinds[1] + kinds[2] + 50),
+        kinds[5] / (size + 50),
+        kinds[3] / (size + 50),
+        max(counts.values(), default=0) / (n + 20),
+        len(lines) / (n + 20),
+        sum(1 for w in words if len(w) > 20) / (n + 20),
     ]
-    symbols, upper, punctuation, digits, top, repeated, breaks, long = np.sqrt(np.maximum(shares, 0)).tolist()
+    symbols, upper, punctuation, digits, top, breaks, long = np.sqrt(np.maximum(shares, 0)).tolist()
     length = float(np.log1p((len(text) - n) / max(1, n)))
     variety = float(np.log1p(len(counts)) / np.log1p(n)) if n else 1.0
-    return [float(np.log1p(n)), symbols, upper, punctuation, digits, length, variety, top, repeated, breaks, long]
+    return [float(np.log1p(n)), symbols, upper, punctuation, digits, length, variety, top, breaks, long]
 
 
 def document_statistics(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
