@@ -18,7 +18,9 @@ from txrisk.llm.frames import BLANKS, store
 
 WIDTH = 5
 CONTAINMENT = 75
-#: Sketch values and item shingles of a benchmark that is broadcast; above, they are shuffled.
+#: Most sketch values that are compared with a document where it is read. Those of a larger benchmark
+#: are joined to the documents' exploded hashes: broadcast up to the second number, beyond it shuffled.
+PROBED_VALUES = 20_000
 BROADCAST_ROWS = 200_000
 
 
@@ -73,6 +75,7 @@ def leaks(
     benchmark: DataFrame,
     containment: int = CONTAINMENT,
     width: int = WIDTH,
+    probed_values: int = PROBED_VALUES,
     broadcast_rows: int = BROADCAST_ROWS,
 ) -> DataFrame:
     """Pairs (doc_id, item_id, n_shared, n_shingles) of documents that hold at least ``containment``
@@ -85,38 +88,53 @@ def leaks(
     items = store(
         benchmark.select("item_id", tokens("text").alias("words")).filter("size(words) > 0").distinct(), "items"
     )
-    sketch = sketches(items, containment, width)
-    small = sketch.count() <= broadcast_rows
-    near = F.broadcast if small else (lambda df: df)
-
-    key = F.xxhash64("doc_id", "text").alias("row_key")
-    probes = (
-        docs.select("doc_id", key, shingle_hashes(tokens("text"), width).alias("values"))
-        .select("doc_id", "row_key", F.size("values").alias("n_values"), F.explode("values").alias("value"))
-        .join(near(sketch), ["value"])
-        .filter("n_values >= need")
-        .select("doc_id", "row_key", "item_id")
-        .distinct()
-    )
-    candidates = store(probes, "candidates")
-
-    wanted = candidates.groupBy("row_key").agg(F.collect_set("item_id").alias("item_ids"))
-    texts = (
-        docs.select("doc_id", key, "text")
-        .join(wanted, "row_key")
-        .dropDuplicates(["row_key"])
-        .select("doc_id", "row_key", "item_ids", shingles(tokens("text"), width).alias("held"))
-        .select("doc_id", "row_key", "held", F.explode("item_ids").alias("item_id"))
-    )
+    sketch = store(sketches(items, containment, width), "sketches")
+    size = sketch.count()
+    near = F.broadcast if size <= broadcast_rows else (lambda df: df)
+    read = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row_key"), "text")
+    candidates = (_probed if size <= probed_values else _joined)(read, sketch, width, near)
     sets = items.select("item_id", shingles(F.col("words"), width).alias("wanted"))
+    held = candidates.dropDuplicates(["row_key", "item_id"]).select(
+        "doc_id", "row_key", "item_id", shingles(tokens("text"), width).alias("held")
+    )
     shared = F.size(F.array_intersect("held", "wanted"))
     return (
-        texts.join(near(sets), "item_id")
+        held.join(near(sets), "item_id")
         .select("doc_id", "item_id", shared.alias("n_shared"), F.size("wanted").alias("n_shingles"), "row_key")
         .filter(F.col("n_shared") * 100 >= F.col("n_shingles") * containment)
     )
 
 
+def _probed(read: DataFrame, sketch: DataFrame, width: int, near) -> DataFrame:
+    """Candidates (doc_id, row_key, text, item_id): few values, looked up among each document's hashes."""
+    values = [str(r["value"]) for r in sketch.select("value").distinct().collect()]  # at most PROBED_VALUES
+    if not values:
+        return read.filter("false").withColumn("item_id", F.lit(None).cast(sketch.schema["item_id"].dataType))
+    wanted = F.split(F.lit(",".join(values)), ",").cast("array<bigint>")
+    return (
+        read.withColumn("values", shingle_hashes(tokens("text"), width))
+        .select("doc_id", "row_key", "text", F.size("values").alias("n"), F.array_intersect(wanted, "values").alias("hits"))
+        .filter("size(hits) > 0")
+        .select("doc_id", "row_key", "text", "n", F.explode("hits").alias("value"))
+        .join(near(sketch), "value")
+        .filter("n >= need")
+        .select("doc_id", "row_key", "text", "item_id")
+    )
+
+
+def _joined(read: DataFrame, sketch: DataFrame, width: int, near) -> DataFrame:
+    """The same by exploded hashes: only candidates' keys are shuffled, then joined to their texts."""
+    pairs = (
+        read.withColumn("values", shingle_hashes(tokens("text"), width))
+        .select("row_key", F.size("values").alias("n"), F.explode("values").alias("value"))
+        .join(near(sketch), "value")
+        .filter("n >= need")
+        .select("row_key", "item_id")
+        .distinct()
+    )
+    return read.join(store(pairs, "candidates"), "row_key").select("doc_id", "row_key", "text", "item_id")
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: int = CONTAINMENT) -> DataFrame:
     """``docs`` without the documents that hold a test item; its columns as they are."""
     found = leaks(docs, benchmark, containment).select(F.col("row_key").alias("_found")).distinct()
