@@ -244,7 +244,11 @@ def register(spark: SparkSession) -> None:
 def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
     """Records of the archives below ``path``; filter it by type or header before anything else."""
     register(spark)
-    return spark.read.format("warc").option("payload", str(payload).lower()).load(path)
+    most = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(
+        spark.conf.get("spark.sql.files.maxPartitionBytes")
+    )
+    options = {"payload": str(payload).lower(), "max_partition_bytes": str(min(most, FILE_BYTES))}
+    return spark.read.format("warc").options(**options).load(path)
 
 
 def write_warc(records_of: DataFrame, path: str, compression: str = "gzip") -> None:
