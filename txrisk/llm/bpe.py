@@ -2,7 +2,8 @@
 
 Texts are split into words with their leading blanks. Documents are dealt into chunks; a chunk sends
 its distinct words to buckets, where each distinct word is encoded once; the ids come back to the
-chunk and are joined to its texts by position. Decoding joins ids to the vocabulary's pieces.
+chunk and are joined to its texts by position. Decoding joins the ids to the vocabulary's pieces, in the
+table of distinct words for texts that were just encoded, by ``decode`` for any ids.
 
 A word begins with blanks and ends before the next blank, which the tokenizer's own pattern never
 crosses, so the words' ids in a row are the text's ids. A text with other white space or with a
@@ -14,16 +15,18 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import pickle
 import re
+from itertools import chain
 from pathlib import Path
 
-import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from txrisk.llm.frames import PACKED, buckets, chunk_of, pack, unpack
+from txrisk.llm.frames import PACKED, buckets, chunks, documents_of, packed_rows
 
 #: White space other than space and line feed.
 OTHER_BLANKS = "\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -67,81 +70,71 @@ def splitter(source: str):
     return lambda text: [text] if whole(text) else find(text)
 
 
-def _in_buckets(words: set[str], count: int) -> dict[int, list[str]]:
+def _in_buckets(words: dict[str, None], count: int) -> dict[int, list[str]]:
     out: dict[int, list[str]] = {}
-    for word in sorted(words):
+    for word in words:
         out.setdefault(xxh3_64_intdigest(word.encode()) % count, []).append(word)
     return out
 
 
-def _chunked(docs: DataFrame, count: int, text: str, id_column: str) -> DataFrame:
-    return docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")
-    ).select("doc_id", "text", chunk_of(count, "doc_id", "text"))
+#: A byte that UTF-8 never has, between packed words.
+BETWEEN = b"\xff"
 
 
 def _encoded(docs: DataFrame, finish, schema: str, path: str | None, text: str, id_column: str) -> DataFrame:
-    """``finish(doc_id, words, table)`` for every document, where table has the ids of each word."""
+    """``finish(doc_ids, texts as words, numbers, decoded)`` for every chunk: the word table has each
+    word's ids as decimal numbers joined by commas, and the bytes of their pieces."""
     spark = docs.sparkSession
     count = buckets(spark)
     source = spark.sparkContext.broadcast(Path(path or default_path()).read_text(encoding="utf-8"))
-    chunked = _chunked(docs, count, text, id_column)
+    chunked = chunks(docs, text, id_column)
 
-    def send(table: pa.Table) -> pa.Table:
+    def split_chunk(table: pa.Table) -> tuple[list, list[list[str]], dict[int, list[str]]]:
         split = splitter(source.value)
-        words: set[str] = set()
-        for t in table.column("text").to_pylist():
-            words.update(split(t))
-        rows = []
-        for bucket, own in _in_buckets(words, count).items():
-            data = [w.encode() for w in own]
-            sizes = np.fromiter(map(len, data), np.uint32, len(data))
-            rows.append((bucket, pack(sizes), pack(np.frombuffer(b"".join(data), np.uint8))))
+        ids, texts = documents_of(table)
+        words = [split(t.decode("utf-8", "replace")) for t in texts]
+        return ids, words, _in_buckets(dict.fromkeys(chain.from_iterable(words)), count)
+
+    def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        return pa.table(
-            {
-                "bucket": pa.array([r[0] for r in rows], pa.int32()),
-                "chunk": pa.array([chunk] * len(rows), pa.int32()),
-                "a": pa.array([r[1] for r in rows], pa.binary()),
-                "b": pa.array([r[2] for r in rows], pa.binary()),
-                "c": pa.array([b""] * len(rows), pa.binary()),
-                "d": pa.array([b""] * len(rows), pa.binary()),
-            }
+        _, _, own = split_chunk(table)
+        return packed_rows(
+            [(b, chunk, zstandard.compress(BETWEEN.join(w.encode() for w in words), 3)) for b, words in own.items()]
         )
 
     def encode(table: pa.Table) -> pa.Table:
-        lists = []
-        for sizes, data in zip(table.column("a").to_pylist(), table.column("b").to_pylist(), strict=True):
-            data, ends = unpack(data, np.uint8).tobytes(), np.cumsum(unpack(sizes, np.uint32)).tolist()
-            lists.append([data[i:j] for i, j in zip([0, *ends[:-1]], ends, strict=True)])
-        distinct = list(dict.fromkeys(w for words in lists for w in words))
-        tokenizer, ids = _tokenizer(source.value), {}
+        lists = [zstandard.decompress(a).split(BETWEEN) for a in table.column("a").to_pylist()]
+        distinct = list(dict.fromkeys(chain.from_iterable(lists)))
+        tokenizer, piece = _tokenizer(source.value), pieces(source.value)
+        numbers: dict[bytes, str] = {}
+        changed: dict[bytes, bytes] = {}  # words whose ids decode to other bytes
         for k in range(0, len(distinct), 10_000):
             part = distinct[k : k + 10_000]
-            found = tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False)
-            ids |= {w: np.array(x.ids, np.uint32) for w, x in zip(part, found, strict=True)}
-        replies = [[ids[w] for w in words] for words in lists]
-        sizes = [pack(np.fromiter(map(len, r), np.uint32, len(r))) for r in replies]
-        return table.select(["bucket", "chunk"]).append_column("a", pa.array(sizes, pa.binary())).append_column(
-            "b", pa.array([pack(np.concatenate(r)) for r in replies], pa.binary())
-        ).append_column("c", table.column("c")).append_column("d", table.column("d"))
+            for w, x in zip(part, tokenizer.encode_batch([w.decode() for w in part], add_special_tokens=False), strict=True):
+                ids = x.ids
+                numbers[w] = ",".join(map(str, ids))
+                decoded = b"".join(map(piece.__getitem__, ids))
+                if decoded != w:
+                    changed[w] = decoded
+        rows = []
+        for bucket, chunk, words in zip(*(table.column(n).to_pylist() for n in ("bucket", "chunk")), lists, strict=True):
+            reply = "\n".join(map(numbers.__getitem__, words)).encode()
+            other = [BETWEEN.join([w, changed[w]]) for w in words if w in changed] if changed else []
+            rows.append((bucket, chunk, zstandard.compress(reply, 3), pickle.dumps(other)))
+        return packed_rows(rows)
 
     def join_back(table: pa.Table, replies: pa.Table) -> pa.Table:
-        split = splitter(source.value)
-        texts = [split(t) for t in table.column("text").to_pylist()]
-        words = {w for t in texts for w in t}
-        back = {
-            b: (unpack(sizes, np.uint32), unpack(ids, np.uint32))
-            for b, sizes, ids in zip(*(replies.column(n).to_pylist() for n in ("bucket", "a", "b")), strict=True)
-        }
-        ids_of = {}
-        for bucket, own in _in_buckets(words, count).items():
-            sizes, ids = back[bucket]
-            ends = np.cumsum(sizes).tolist()
-            flat = ids.tolist()
-            for w, i, j in zip(own, [0, *ends[:-1]], ends, strict=True):
-                ids_of[w] = flat[i:j]
-        return finish(table.column("doc_id").to_pylist(), texts, ids_of, source.value)
+        ids, texts, own = split_chunk(table)
+        numbers: dict[str, str] = {}
+        decoded: dict[str, bytes] = {}
+        for bucket, a, b in zip(*(replies.column(n).to_pylist() for n in ("bucket", "a", "b")), strict=True):
+            words = own.pop(bucket)
+            numbers.update(zip(words, zstandard.decompress(a).decode().split("\n"), strict=True))
+            for w, other in (x.split(BETWEEN) for x in pickle.loads(b)):
+                decoded[w.decode()] = other
+        if own:
+            raise ValueError("a chunk was read in another order; store the documents first")
+        return finish(ids, texts, numbers, decoded)
 
     sent = chunked.groupBy("chunk").applyInArrow(send, PACKED)
     replies = sent.groupBy("bucket").applyInArrow(encode, PACKED)
@@ -158,8 +151,8 @@ def encode(docs: DataFrame, path: str | None = None, text: str = "text", id_colu
     One row per row of ``docs``, rows that repeat an id too; other columns are not read.
     """
 
-    def finish(doc_ids, texts, ids_of, source):
-        ids = [[i for w in t for i in ids_of[w]] for t in texts]
+    def finish(doc_ids, texts, numbers, decoded):
+        ids = [[int(x) for x in ",".join(map(numbers.__getitem__, t)).split(",")] if t else [] for t in texts]
         return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(ids, pa.list_(pa.int32()))})
 
     return _encoded(docs, finish, "doc_id long, ids array<int>", path, text, id_column)
@@ -191,18 +184,14 @@ def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
 def digests(docs: DataFrame, path: str | None = None, text: str = "text", id_column: str = "doc_id") -> DataFrame:
     """Per row of ``docs``: number of tokens, digest of the ids, digest of the text decoded from them."""
 
-    def finish(doc_ids, texts, ids_of, source):
-        piece = pieces(source)
-        table = {
-            w: (len(ids), ",".join(map(str, ids)), b"".join(map(piece.__getitem__, ids))) for w, ids in ids_of.items()
-        }
+    def finish(doc_ids, texts, numbers, decoded):
         out: list[list] = [[], [], []]
         for t in texts:
-            sizes, numbers, bytes_of = zip(*map(table.__getitem__, t), strict=True) if t else ((), (), ())
-            decoded = b"".join(bytes_of).decode("utf-8", "replace").encode()
-            out[0].append(sum(sizes))
-            out[1].append(hashlib.sha256(",".join(numbers).encode()).hexdigest())
-            out[2].append(hashlib.sha256(decoded).hexdigest())
+            ids = ",".join(map(numbers.__getitem__, t))
+            back = b"".join(decoded.get(w) or w.encode() for w in t) if decoded else "".join(t).encode()
+            out[0].append(ids.count(",") + 1 if t else 0)
+            out[1].append(hashlib.sha256(ids.encode()).hexdigest())
+            out[2].append(hashlib.sha256(back.decode("utf-8", "replace").encode()).hexdigest())
         return pa.table(
             {
                 "doc_id": pa.array(doc_ids, pa.int64()),

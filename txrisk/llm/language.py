@@ -24,6 +24,8 @@ TOTAL_CHARS = 240_000
 #: Rows with so many characters are taken first, so that one long text is not the whole sample.
 GOOD_LENGTH = (200, 5000)
 SEGMENT = 512
+#: About so many letters are parsed in step.
+LETTERS_AT_ONCE = 4_000_000
 UNKNOWN = "und"
 
 _letters: list[np.ndarray] = []
@@ -176,10 +178,14 @@ def languages(docs: DataFrame, labelled: DataFrame, text: str = "text", id_colum
 
     def read(batches):
         for b in batches:
-            lang, sure = predict(b.column(1).to_pylist(), model.value)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(lang, pa.string()), pa.array(sure, pa.float64())], ["doc_id", "lang_pred", "score"]
-            )
+            texts = b.column(1).to_pylist()
+            edges = np.cumsum([len(t or "") for t in texts]) // LETTERS_AT_ONCE
+            for part in np.split(np.arange(len(texts)), np.flatnonzero(np.diff(edges)) + 1):
+                lang, sure = predict([texts[k] for k in part.tolist()], model.value)
+                yield pa.RecordBatch.from_arrays(
+                    [b.column(0).take(pa.array(part)), pa.array(lang, pa.string()), pa.array(sure, pa.float64())],
+                    ["doc_id", "lang_pred", "score"],
+                )
 
     source = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text).alias("text"))
     return source.mapInArrow(read, "doc_id long, lang_pred string, score double")

@@ -22,7 +22,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.frames import PACKED, buckets, chunk_of, pack, pack_sorted, unpack, unpack_sorted
+from txrisk.llm.frames import (
+    PACKED,
+    buckets,
+    chunks,
+    documents_of,
+    pack,
+    pack_sorted,
+    packed_rows,
+    unpack,
+    unpack_sorted,
+)
 from txrisk.llm.words import SECOND, runs, starts_of_runs, word_hashes
 
 WIDTH = 13
@@ -30,7 +40,9 @@ WIDTH = 13
 CELL_BITS = 28
 BLOCK_BITS = 20
 #: Windows a task counts before it gives out a sketch and starts another.
-WINDOWS_IN_SKETCH = 8_000_000
+WINDOWS_IN_SKETCH = 4_000_000
+#: Bytes of text that are split into words at a time.
+SLICE_BYTES = 4 << 20
 
 RESULT = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept_text string"
 
@@ -60,6 +72,19 @@ def _sketch_rows(row: int, cells: np.ndarray, block_bits: int) -> Iterator[tuple
         yield row, block, pack_sorted(one.astype(np.int64) - base), pack_sorted(two.astype(np.int64) - base)
 
 
+def _slices(column: pa.Array) -> Iterator[list[bytes]]:
+    held, size = [], 0
+    for value in column:
+        if text := value.as_py():
+            held.append(text)
+            size += len(text)
+        if size >= SLICE_BYTES:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def repeated_cells(docs: DataFrame, width: int, cell_bits: int, text: str = "text") -> list[np.ndarray]:
     """The merged sketch as two rows of bits: cells that count at least two windows."""
     block_bits = min(BLOCK_BITS, cell_bits)
@@ -79,18 +104,16 @@ def repeated_cells(docs: DataFrame, width: int, cell_bits: int, text: str = "tex
 
         waiting = 0
         for batch in batches:
-            texts = [t for t in batch.column(0).to_pylist() if t]
-            if not texts:
-                continue
-            _, _, first, second, _, _ = _windows(texts, width)
-            if not len(first):
-                continue
-            for row, cells in enumerate(_cells(first, second, cell_bits)):
-                held[row].append(cells)
-            waiting += len(first)
-            if waiting >= WINDOWS_IN_SKETCH:
-                yield from give_out()
-                waiting = 0
+            for texts in _slices(batch.column(0)):
+                _, _, first, second, _, _ = _windows(texts, width)
+                if not len(first):
+                    continue
+                for row, cells in enumerate(_cells(first, second, cell_bits)):
+                    held[row].append(cells)
+                waiting += len(first)
+                if waiting >= WINDOWS_IN_SKETCH:
+                    yield from give_out()
+                    waiting = 0
         yield from give_out()
 
     def merge(table: pa.Table) -> pa.Table:
@@ -115,30 +138,6 @@ def repeated_cells(docs: DataFrame, width: int, cell_bits: int, text: str = "tex
     return rows
 
 
-def _ordered(table: pa.Table) -> tuple[list, list[bytes]]:
-    """Ids and texts by id and text; rows that agree in both are interchangeable."""
-    rows = sorted(
-        zip(table.column("doc_id").to_pylist(), table.column("text").to_pylist(), strict=True),
-        key=lambda r: (r[0] is None, r[0] or 0, r[1] or b""),
-    )
-    return [i for i, _ in rows], [t or b"" for _, t in rows]
-
-
-def _empty() -> pa.Table:
-    binary = pa.array([], pa.binary())
-    return pa.table({"bucket": pa.array([], pa.int32()), "chunk": pa.array([], pa.int32()), **dict.fromkeys("abcd", binary)})
-
-
-def _rows(rows: list[tuple]) -> pa.Table:
-    if not rows:
-        return _empty()
-    part = list(zip(*rows, strict=True))
-    return pa.table(
-        {"bucket": pa.array(part[0], pa.int32()), "chunk": pa.array(part[1], pa.int32())}
-        | {name: pa.array(list(values), pa.binary()) for name, values in zip("abcd", part[2:], strict=True)}
-    )
-
-
 def remove_repeats(
     docs: DataFrame, width: int = WIDTH, cell_bits: int = CELL_BITS, text: str = "text", id_column: str = "doc_id"
 ) -> DataFrame:
@@ -152,16 +151,16 @@ def remove_repeats(
     spark = docs.sparkSession
     count = buckets(spark)
     bits = spark.sparkContext.broadcast(repeated_cells(docs, width, cell_bits, text))
-    chunked = docs.select(
-        F.col(id_column).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text")
-    ).select("doc_id", "text", chunk_of(count, "doc_id", "text"))
+    chunked = chunks(docs, text, id_column)
 
     def send(table: pa.Table) -> pa.Table:
-        ids, texts = _ordered(table)
+        ids, texts = documents_of(table)
         chunk = table.column("chunk")[0].as_py()
-        known = len(ids) - ids.count(None)
-        ids, texts = np.array(ids[:known], np.int64), texts[:known]  # rows without an id are last
+        known = np.array([i is not None for i in ids])
+        ids = np.array([i or 0 for i in ids], np.int64)
         _, _, first, second, at, owner = _windows(texts, width)
+        if not known.all():
+            first, second, at, owner = (x[known[owner]] for x in (first, second, at, owner))
         again = np.ones(len(first), bool)
         for cells, row in zip(_cells(first, second, cell_bits), bits.value, strict=True):
             again &= ((row[cells >> 3] >> (cells & 7).astype(np.uint8)) & 1).astype(bool)
@@ -173,7 +172,7 @@ def remove_repeats(
         least = np.empty(len(order), np.int64)
         least[order] = ids_at[order][new][np.cumsum(new) - 1] if len(order) else []
         here = ids_at > least  # a smaller id of this chunk has the window
-        rows = [(count + chunk, chunk, pack_sorted(at[here]), b"", b"", b"")]
+        rows = [(count + chunk % count, chunk, pack_sorted(at[here]))]
         first, extra, at, ids_at = first[~here], extra[~here], at[~here], ids_at[~here]
         bucket = ((second[~here] >> np.uint64(16)) % np.uint64(count)).astype(np.int64)
         for b in np.unique(bucket).tolist():
@@ -182,7 +181,7 @@ def remove_repeats(
             runs_of = np.diff(turn, append=x.sum()).astype(np.uint32)
             doc = pack(np.column_stack([ids_at[x][turn], runs_of.astype(np.int64)]))
             rows.append((b, chunk, pack(first[x]), pack(extra[x]), pack_sorted(at[x]), doc))
-        return _rows(rows)
+        return packed_rows(rows)
 
     def group(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
@@ -201,16 +200,16 @@ def remove_repeats(
         least = np.empty(len(order), np.int64)
         least[order] = ids[order][new][np.cumsum(new) - 1]
         cut = np.split(ids > least, np.cumsum(sizes)[:-1])
-        return _rows(
+        return packed_rows(
             [
-                (bucket, r["chunk"], pack_sorted(unpack_sorted(r["c"])[flags]), b"", b"", b"")
+                (bucket, r["chunk"], pack_sorted(unpack_sorted(r["c"])[flags]))
                 for r, flags in zip(rows, cut, strict=True)
                 if flags.any()
             ]
         )
 
     def cut_out(table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, texts = _ordered(table)
+        ids, texts = documents_of(table)
         words = [t.split() for t in texts]
         sizes = np.fromiter(map(len, words), np.int64, len(words))
         depth = np.zeros(sizes.sum() + width + 1, np.int32)
