@@ -60,6 +60,7 @@ def main() -> None:
         "amount_stats_exact": lambda: amount_stats(tx, exact=True),
         "value_distribution": lambda: profile.value_distribution(tx),
         "summary_stats": lambda: profile.summary_stats(tx),
+        "summary_stats_exact": lambda: profile.summary_stats(tx, exact=True),
         "fraud_rate_by_level": lambda: triage.fraud_rate_by_level(scored),
         "kpis": lambda: triage.kpis(scored),
         "top100_high_risk": lambda: triage.top_cases(scored),

@@ -104,7 +104,7 @@ FromTables = Callable[[SparkSession, str], DataFrame]
 # Queries over the transactions.
 ON_TRANSACTIONS: dict[str, FromRows] = {
     "table_shape": profile.shape,
-    "summary_stats": lambda tx: _rounded(profile.summary_stats(tx), 6, "mean", "stddev"),
+    "summary_stats": lambda tx: _rounded(profile.summary_stats(tx, exact=True), 6, "mean", "stddev"),
     "value_distribution": profile.value_distribution,
     "fraud_rate": profile.fraud_rate,
     "amount_stats": lambda tx: _rounded(

@@ -6,7 +6,7 @@ then takes off the row itself. NULL timestamps are peers of each other only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from txrisk.operators.skew import split_hot
@@ -16,12 +16,24 @@ SECONDS_PER_BIN = 86400
 
 
 def trailing_by_window(df: DataFrame, windows: dict[str, int]) -> DataFrame:
-    """One shuffle and one sort for all frames; for users that fit one task."""
+    """One shuffle and one sort for all frames; for users that fit one task.
+
+    The count inside a frame is the count up to its end less the count before its
+    beginning. Both only grow along the sort, so the cost is linear in the rows,
+    however many share a frame. NULL timestamps have nothing before them.
+    """
     order = Window.partitionBy("user_id").orderBy(F.unix_timestamp("timestamp"))
+    start = Window.unboundedPreceding
+    until_now = F.count("*").over(order.rangeBetween(start, 0))
+
+    def before(seconds: int) -> Column:
+        earlier = F.count("*").over(order.rangeBetween(start, -(seconds + 1)))
+        return F.when(F.col("timestamp").isNull(), 0).otherwise(earlier)
+
     return df.select(
         "*",
         *[
-            (F.count("*").over(order.rangeBetween(-seconds, 0)) - 1).alias(name)
+            (until_now - before(seconds) - 1).alias(name)
             for name, seconds in windows.items()
         ],
     )

@@ -23,11 +23,24 @@ def _typed(df: DataFrame, field: T.StructField, lenient: bool) -> Column:
         for text, number in BOOLEAN_WORDS.items():
             column = F.when(word == text, number).otherwise(column)
         steps.insert(0, DECIMAL_TEXT)
+    elif isinstance(have, T.FractionalType) and isinstance(field.dataType, T.IntegralType):
+        steps.insert(0, DECIMAL_TEXT)
     for step in steps:
+        if step == field.dataType and len(steps) > 1:
+            column = _whole(column, field.name, lenient)
         column = column.try_cast(step) if lenient else column.cast(step)
     return column
 
 
+def _whole(number: Column, name: str, lenient: bool) -> Column:
+    """``number`` where it has no fraction; else NULL, or an error."""
+    whole = F.when(number == F.floor(number), number)
+    if lenient:
+        return whole
+    error = F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), number.cast("string")))
+    return F.when(number.isNull() | (number == F.floor(number)), number).otherwise(error)
+
+
 def cast_to_schema(
     df: DataFrame,
     schema: T.StructType = TRANSACTIONS,
@@ -36,8 +49,9 @@ def cast_to_schema(
 ) -> DataFrame:
     """``df`` with the schema's types; further columns stay as they are.
 
-    A missing column is an error. A value that does not fit its type fails the
-    query, or turns NULL when ``lenient`` (see ``reject_counts``).
+    A missing column is an error. A value that does not fit its type, a fraction
+    for a whole number too, fails the query, or turns NULL when ``lenient`` (see
+    ``reject_counts``).
     """
     missing = [f.name for f in schema if f.name not in df.columns]
     if missing:

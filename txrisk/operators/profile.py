@@ -39,11 +39,20 @@ def summary(df: DataFrame) -> DataFrame:
     return df.summary()
 
 
-def summary_stats(df: DataFrame, columns: list[str] = NUMERIC_COLUMNS) -> DataFrame:
-    """Typed summary, one row per numeric column, with exact quartiles."""
+def summary_stats(
+    df: DataFrame, columns: list[str] = NUMERIC_COLUMNS, exact: bool = False, accuracy: int = 10_000
+) -> DataFrame:
+    """Typed summary, one row per numeric column.
+
+    Quartiles are approximate, in the same single pass as everything else, or with
+    ``exact`` by further passes."""
     measures = {
         "count": F.count, "mean": F.avg, "stddev": F.stddev_samp, "min": F.min, "max": F.max,
     }
+    if not exact:
+        measures |= {
+            name: (lambda c, p=float(p): F.percentile_approx(c, p, accuracy)) for p, name in QUARTILES.items()
+        }
     # The moments of all columns come from one pass over the rows as they are;
     # only the quartiles need the columns below each other.
     wide = df.agg(
@@ -59,6 +68,8 @@ def summary_stats(df: DataFrame, columns: list[str] = NUMERIC_COLUMNS) -> DataFr
             )
         ).alias("row")
     ).select("row.*")
+    if not exact:
+        return moments.select("column", "count", "mean", "stddev", "min", *QUARTILES.values(), "max")
     long = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).unpivot(
         [], columns, "column", "v"
     )

@@ -1,4 +1,7 @@
-"""The transaction before each transaction of a user, by time and id."""
+"""The transaction before each transaction of a user, by time, id and the carried columns.
+
+Rows that agree in all of these are interchangeable, so the order is total for
+what is asked, and both plans give the same answer whatever a user's size."""
 
 from __future__ import annotations
 
@@ -14,9 +17,13 @@ IDS_PER_BLOCK = 65536
 LOWEST_BLOCK = -(2**62)  # rows without an id come first
 
 
+def _order(columns: list[str]) -> list[str]:
+    return [*ORDER, *(c for c in columns if c not in ORDER)]
+
+
 def previous_by_window(df: DataFrame, columns: list[str]) -> DataFrame:
-    by_time = Window.partitionBy("user_id").orderBy(*ORDER)
-    return df.select("*", F.lag(F.struct(*ORDER, *columns)).over(by_time).alias("previous"))
+    by_time = Window.partitionBy("user_id").orderBy(*_order(columns))
+    return df.select("*", F.lag(F.struct(*_order(columns))).over(by_time).alias("previous"))
 
 
 # Nested groups of a user's rows, outermost first. Each level has a bounded number
@@ -33,7 +40,7 @@ def previous_by_levels(df: DataFrame, columns: list[str]) -> DataFrame:
     the same way one level up.
     """
     keyed = (
-        df.select("*", F.struct(*ORDER, *columns).alias("_row"))
+        df.select("*", F.struct(*_order(columns)).alias("_row"))
         .selectExpr(
             "*",
             "timestamp IS NOT NULL AS _timed",
@@ -51,7 +58,7 @@ def previous_by_levels(df: DataFrame, columns: list[str]) -> DataFrame:
         lag = F.lag("_last").over(Window.partitionBy(*outer).orderBy(*LEVELS[depth]))
         found = members.select(*inner, lag.alias("_before"))
         before = found if before is None else _or_from_above(found, before, outer, inner)
-    by_id = Window.partitionBy(*inner).orderBy(*ORDER)
+    by_id = Window.partitionBy(*inner).orderBy(*_order(columns))
     rows = keyed.select(*df.columns, *inner[1:], F.lag("_row").over(by_id).alias("_before"))
     return _or_from_above(rows, before, inner, df.columns).withColumnRenamed("_before", "previous")
 

@@ -55,16 +55,19 @@ def amount_distribution(df: DataFrame) -> DataFrame:
 
 
 def amount_histogram(df: DataFrame, bins: int = 20) -> DataFrame:
-    """Equal-width bins from minimum to maximum; empty bins are left out."""
-    span = df.agg(F.struct(F.min("amount").alias("lo"), F.max("amount").alias("hi"))).scalar()
+    """Equal-width bins from minimum to maximum; empty bins are left out.
+
+    NaN amounts are bin 0 without borders, NULL amounts are left out."""
+    number = F.when(~F.isnan("amount"), F.col("amount"))
+    span = df.agg(F.struct(F.min(number).alias("lo"), F.max(number).alias("hi"))).scalar()
     width = (span["hi"] - span["lo"]) / bins
     place = F.coalesce(F.width_bucket("amount", span["lo"], span["hi"], F.lit(bins)), F.lit(1))
     return (
         df.filter(F.col("amount").isNotNull())
-        .groupBy(F.least(place, F.lit(bins)).alias("bin"))
+        .groupBy(F.when(F.isnan("amount"), 0).otherwise(F.least(place, F.lit(bins))).alias("bin"))
         .agg(F.count("*").alias("transaction_count"))
-        .withColumn("bin_from", F.round(span["lo"] + width * (F.col("bin") - 1), 4))
-        .withColumn("bin_to", F.round(span["lo"] + width * F.col("bin"), 4))
+        .withColumn("bin_from", F.when(F.col("bin") > 0, F.round(span["lo"] + width * (F.col("bin") - 1), 4)))
+        .withColumn("bin_to", F.when(F.col("bin") > 0, F.round(span["lo"] + width * F.col("bin"), 4)))
         .orderBy("bin")
     )
 
@@ -145,8 +148,9 @@ def table_links(tables: dict[str, DataFrame], keys: list[str]) -> DataFrame:
 
 
 def customer_profile(scored: DataFrame, indicator_counts: bool = False) -> DataFrame:
-    """One row per user: activity, amounts, places, devices, scores and levels, and
-    on request how often each indicator fired."""
+    """One row per user of the given rows: activity, amounts, places, devices, scores
+    and levels, and on request how often each indicator fired. Rows without a user
+    have no profile."""
     level = F.col("risk_level")
     counts = [F.sum(c).alias(c) for c in INDICATOR_COLUMNS] if indicator_counts else []
     return scored.filter(F.col("user_id").isNotNull()).groupBy("user_id").agg(
@@ -155,9 +159,8 @@ def customer_profile(scored: DataFrame, indicator_counts: bool = False) -> DataF
         money_total().alias("total_amount"),
         money_mean().alias("avg_amount"),
         F.max("amount").alias("max_amount"),
-        # Already counted per user by the score, so no further distinct is needed.
-        F.max("distinct_countries_user").alias("distinct_countries"),
-        F.max("distinct_devices_user").alias("distinct_devices"),
+        F.count_distinct("country").alias("distinct_countries"),
+        F.count_distinct("device").alias("distinct_devices"),
         F.min("timestamp").alias("first_seen"),
         F.max("timestamp").alias("last_seen"),
         F.max("risk_score").alias("max_score"),

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.operators.prepare import prepare
+from txrisk.operators.prepare import prepare, reject_counts
 from txrisk.plans.scoring import score
 from txrisk.sources.readers import read_transactions
 from txrisk.sources.tables import replace_table
-from txrisk.spec import RiskSpec
+from txrisk.spec import RiskSpec, SkewPolicy
 
 
 def build_transactions(
@@ -18,9 +18,18 @@ def build_transactions(
     fmt: str = "csv",
     lenient: bool = False,
     by_month: bool = False,
+    null_ids: str = "keep",
+    nan_to_null: bool = False,
 ) -> DataFrame:
-    """Read, type, de-duplicate and store the transactions."""
-    prepared, _ = prepare(read_transactions(spark, path, fmt), lenient=lenient)
+    """Read, type, de-duplicate and store the transactions.
+
+    What was removed is stored as ``<table>_rejects``, and how many values of each
+    column did not fit its type as ``<table>_reject_counts``.
+    """
+    raw = read_transactions(spark, path, fmt)
+    prepared, audit = prepare(raw, lenient, null_ids, nan_to_null)
+    replace_table(audit, f"{table}_rejects")
+    replace_table(reject_counts(raw), f"{table}_reject_counts")
     replace_table(prepared, table, by_month)
     return spark.table(table)
 
@@ -31,7 +40,9 @@ def build_scored(
     table: str = "scored_transactions",
     spec: RiskSpec = RiskSpec(),
     by_month: bool = False,
+    policy: SkewPolicy | None = SkewPolicy(),
+    exact: bool = False,
 ) -> DataFrame:
     """Score the stored transactions and store the result."""
-    replace_table(score(spark.table(source), spec), table, by_month)
+    replace_table(score(spark.table(source), spec, policy=policy, exact=exact), table, by_month)
     return spark.table(table)

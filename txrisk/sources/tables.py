@@ -25,19 +25,35 @@ def write_table(df: DataFrame, table: str, by_month: bool = False) -> None:
 def replace_table(df: DataFrame, table: str, by_month: bool = False) -> None:
     """Like ``write_table``, also where ``df`` reads ``table`` itself.
 
-    The rows go to a staging table that then takes the old table's name. A failed
-    write leaves the old table as it was.
+    The rows go to a staging table; the old table is renamed aside, the new one
+    takes its name, and only then the old one is dropped. After a crash between
+    these steps ``recover_table`` finishes or undoes the replacement; until then a
+    left-over staging or old table is refused, as it may be the only copy.
     """
     spark = df.sparkSession
-    staging = f"{table}__staging"
+    staging, old = f"{table}__staging", f"{table}__old"
+    if left := [t for t in (staging, old) if spark.catalog.tableExists(t)]:
+        raise RuntimeError(f"{left[0]} is left of an earlier replacement: see recover_table")
     write_table(df, staging, by_month)
-    spark.sql(f"DROP TABLE IF EXISTS {table}")
+    if spark.catalog.tableExists(table):
+        spark.sql(f"ALTER TABLE {table} RENAME TO {old}")
     spark.sql(f"ALTER TABLE {staging} RENAME TO {table}")
+    spark.sql(f"DROP TABLE IF EXISTS {old}")
     if by_month:
         # Some catalogs still list the partitions under the staging location.
         spark.sql(f"MSCK REPAIR TABLE {table} SYNC PARTITIONS")
 
 
+def recover_table(spark: SparkSession, table: str) -> None:
+    """Undo a replacement that a crash cut short, or finish one that was complete."""
+    staging, old = f"{table}__staging", f"{table}__old"
+    if not spark.catalog.tableExists(table) and spark.catalog.tableExists(old):
+        spark.sql(f"ALTER TABLE {old} RENAME TO {table}")
+    if spark.catalog.tableExists(table):
+        spark.sql(f"DROP TABLE IF EXISTS {old}")
+        spark.sql(f"DROP TABLE IF EXISTS {staging}")
+
+
 def list_tables(spark: SparkSession, database: str = "default") -> DataFrame:
     return spark.sql(f"SHOW TABLES IN {database}")
 

@@ -78,3 +78,7 @@ class SkewPolicy:
 
     min_rows: int = 100_000
     max_keys: int = 500_000
+
+    def __post_init__(self) -> None:
+        if not 1 <= self.max_keys <= 1_000_000:
+            raise ValueError("max_keys bounds a broadcast: 1 to 1,000,000")
