@@ -89,15 +89,19 @@ def _encoded(docs: DataFrame, finish, schema: str, path: str | None, text: str,
     source = spark.sparkContext.broadcast(Path(path or default_path()).read_text(encoding="utf-8"))
     chunked = chunks(docs, text, id_column)
 
-    def split_chunk(table: pa.Table) -> tuple[list, list[list[str]], dict[int, list[str]]]:
+    def read_chunk(table: pa.Table) -> tuple[list, list[str], dict[int, list[str]]]:
+        """Ids, texts and the distinct words by bucket; the words of one text at a time."""
         split = splitter(source.value)
         ids, texts = documents_of(table)
-        words = [split(t.decode("utf-8", "replace")) for t in texts]
-        return ids, words, _in_buckets(dict.fromkeys(chain.from_iterable(words)), count)
+        texts = [t.decode("utf-8", "replace") for t in texts]
+        distinct: dict[str, None] = {}
+        for t in texts:
+            distinct.update(dict.fromkeys(split(t)))
+        return ids, texts, _in_buckets(distinct, count)
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
-        _, _, own = split_chunk(table)
+        _, _, own = read_chunk(table)
         return packed_rows(
             [(b, chunk, zstandard.compress(BETWEEN.join(w.encode() for w in words), 3)) for b, words in own.items()]
         )
@@ -124,7 +128,7 @@ def _encoded(docs: DataFrame, finish, schema: str, path: str | None, text: str,
         return packed_rows(rows)
 
     def join_back(table: pa.Table, replies: pa.Table) -> pa.Table:
-        ids, texts, own = split_chunk(table)
+        ids, texts, own = read_chunk(table)
         numbers: dict[str, str] = {}
         decoded: dict[str, bytes] = {}
         for bucket, a, b in zip(*(replies.column(n).to_pylist() for n in ("bucket", "a", "b")), strict=True):
@@ -134,7 +138,8 @@ def _encoded(docs: DataFrame, finish, schema: str, path: str | None, text: str,
                 decoded[w.decode()] = other
         if own:
             raise ValueError("a chunk was read in another order; store the documents first")
-        return finish(ids, texts, numbers, decoded)
+        split = splitter(source.value)
+        return finish(ids, map(split, texts), numbers, decoded)
 
     sent = chunked.groupBy("chunk").applyInArrow(send, PACKED)
     replies = sent.groupBy("bucket").applyInArrow(encode, PACKED)
