@@ -203,12 +203,21 @@ def _fraud_by(column: str) -> str:
 def _users_with_many(column: str) -> str:
     return on_tx(
         f"""SELECT user_id, count(DISTINCT {column}) AS distinct_values,
-        string_agg(DISTINCT {column}, ',' ORDER BY {column}) AS value_list,
         count(*) AS transaction_count
         FROM tx GROUP BY user_id HAVING count(DISTINCT {column}) >= 3"""
     )
 
 
+def _values_of_users(column: str) -> str:
+    return on_tx(
+        f"""SELECT *, count(*) OVER u AS distinct_values,
+        CAST(sum(value_count) OVER u AS BIGINT) AS transaction_count
+        FROM (SELECT user_id, {column} AS "value", count(*) AS value_count FROM tx GROUP BY ALL)
+        WINDOW u AS (PARTITION BY user_id)
+        QUALIFY distinct_values >= 3"""
+    )
+
+
 def _prevalence() -> str:
     parts = " UNION ALL ".join(
         f"SELECT '{n}' AS indicator, {f} AS fired, is_fraud FROM scored" for n, f in zip(NAMES, FLAGS)
@@ -343,6 +352,33 @@ def _rejects() -> str:
     )
 
 
+def _with_copies(body: str) -> str:
+    copied = f"""copied AS (
+      SELECT {_cols(TX_COLUMNS)} FROM postings
+      UNION ALL SELECT {_cols(TX_COLUMNS)} FROM postings WHERE num_items > 25)"""
+    return _with([POSTINGS, copied], body)
+
+
+def _listing() -> str:
+    columns = [
+        ("transaction_id", "bigint"), ("user_id", "bigint"), ("timestamp", "timestamp"), ("amount", "double"),
+        ("country", "string"), ("device", "string"), ("channel", "string"), ("hour", "int"),
+        ("dayofweek", "int"), ("coupon_applied", "int"), ("num_items", "int"), ("is_fraud", "int"),
+    ]
+    rows = ", ".join(f"({i}, '{c}', '{t}', true)" for i, (c, t) in enumerate(columns))
+    return f'SELECT * FROM (VALUES {rows}) v(position, "column", type, nullable)'
+
+
+_KEPT = f"""SELECT {_cols(TX_COLUMNS)} FROM postings QUALIFY row_number() OVER
+            (PARTITION BY transaction_id ORDER BY {_POSTING_ORDER}) = 1"""
+_REMOVED = f"""
+SELECT {_cols(TX_COLUMNS)}, count(*) AS removed_copies,
+       row({_cols(TX_COLUMNS)}) IS DISTINCT FROM any_value(kept) AS is_conflict
+FROM (SELECT *, row_number() OVER o AS rn,
+             first_value(row({_cols(TX_COLUMNS)})) OVER o AS kept
+      FROM postings WINDOW o AS (PARTITION BY transaction_id ORDER BY {_POSTING_ORDER}))
+WHERE rn > 1 GROUP BY {_cols(TX_COLUMNS)}"""
+
 _ZSCORE = """zs AS (
   SELECT *, round((amount - avg(amount) OVER (PARTITION BY user_id))
          / nullif(stddev_samp(amount) OVER (PARTITION BY user_id), 0), 4) AS amount_z FROM tx
@@ -442,6 +478,8 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
         ),
         "multi_country_users": _users_with_many("country"),
         "multi_device_users": _users_with_many("device"),
+        "countries_of_users": _values_of_users("country"),
+        "devices_of_users": _values_of_users("device"),
         "country_switch": _SWITCH,
         "country_switch_hot_users": _SWITCH,
         "unusual_characteristics": _UNUSUAL,
@@ -540,21 +578,23 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
             AS distinct_rows, count(*) - count(DISTINCT (user_id, country, device, num_items, is_fraud))
             AS duplicate_rows FROM postings"""
         ),
+        "duplicate_whole_rows": _with_copies(
+            f"""SELECT count(*) AS total_rows, count(DISTINCT ({_cols(TX_COLUMNS)})) AS distinct_rows,
+            count(*) - count(DISTINCT ({_cols(TX_COLUMNS)})) AS duplicate_rows FROM copied"""
+        ),
+        "distinct_rows": _with_copies("SELECT DISTINCT * FROM copied"),
         "duplicate_keys": on_postings(
             """SELECT count(*) AS duplicate_keys FROM
             (SELECT transaction_id FROM postings GROUP BY 1 HAVING count(*) > 1)"""
         ),
-        "dedup_by_id": on_postings(
-            f"""SELECT {_cols(TX_COLUMNS)} FROM postings QUALIFY row_number() OVER
-            (PARTITION BY transaction_id ORDER BY {_POSTING_ORDER}) = 1"""
-        ),
-        "dedup_audit": on_postings(
-            f"""
-SELECT {_cols(TX_COLUMNS)}, count(*) AS removed_copies,
-       row({_cols(TX_COLUMNS)}) IS DISTINCT FROM any_value(kept) AS is_conflict
-FROM (SELECT *, row_number() OVER o AS rn,
-             first_value(row({_cols(TX_COLUMNS)})) OVER o AS kept
-      FROM postings WINDOW o AS (PARTITION BY transaction_id ORDER BY {_POSTING_ORDER}))
-WHERE rn > 1 GROUP BY {_cols(TX_COLUMNS)}"""
-        ),
+        "dedup_by_id": on_postings(_KEPT),
+        "dedup_audit": on_postings(_REMOVED),
+        "csv_transactions": on_postings(f"SELECT {_cols(TX_COLUMNS)} FROM postings"),
+        "stored_transactions": on_postings(_KEPT),
+        "stored_rejects": on_postings(_REMOVED),
+        "stored_reject_counts": _rejects(),
+        "stored_scored": _ALL_SCORED,
+        "schema_listing": _listing(),
+        "table_listing": """SELECT * FROM (VALUES ('payments'), ('payments_reject_counts'),
+            ('payments_rejects')) v(table_name)""",
     }

@@ -94,8 +94,9 @@ def _flat_customer_report(scored: DataFrame) -> DataFrame:
     )
 
 
-def _flat_users(df: DataFrame) -> DataFrame:
-    return df.withColumn("value_list", F.concat_ws(",", "value_list"))
+def _with_copies(typed: DataFrame) -> DataFrame:
+    """The typed postings with an exact copy of those of many items."""
+    return typed.unionByName(typed.filter("num_items > 25"))
 
 
 FromRows = Callable[[DataFrame], DataFrame]
@@ -133,8 +134,10 @@ ON_TRANSACTIONS: dict[str, FromRows] = {
     "amount_histogram": inv.amount_histogram,
     "txn_by_country": inv.counts_by,
     "behaviour_change": inv.behaviour_change,
-    "multi_country_users": lambda tx: _flat_users(inv.users_with_many(tx, "country")),
-    "multi_device_users": lambda tx: _flat_users(inv.users_with_many(tx, "device")),
+    "multi_country_users": lambda tx: inv.users_with_many(tx, "country"),
+    "multi_device_users": lambda tx: inv.users_with_many(tx, "device"),
+    "countries_of_users": lambda tx: inv.values_of_users(tx, "country"),
+    "devices_of_users": lambda tx: inv.values_of_users(tx, "device"),
     "country_switch": inv.country_switch,
     "country_switch_hot_users": lambda tx: inv.country_switch(tx, policy=EVERY_KEY_HOT),
     "unusual_characteristics": inv.unusual_characteristics,
@@ -194,6 +197,8 @@ ON_TYPED_POSTINGS: dict[str, FromRows] = {
     "duplicate_rows": lambda t: profile.duplicate_rows(
         t.select("user_id", "country", "device", "num_items", "is_fraud")
     ),
+    "duplicate_whole_rows": lambda t: profile.duplicate_rows(_with_copies(t)),
+    "distinct_rows": lambda t: profile.distinct_rows(_with_copies(t)),
     "duplicate_keys": profile.duplicate_keys,
     "dedup_by_id": lambda t: prepare.dedup_by_id(t).select(TRANSACTION_COLUMNS),
     "dedup_audit": prepare.dedup_audit,
@@ -238,5 +243,7 @@ def queries() -> dict[str, FromTables]:
         (typed_postings, ON_TYPED_POSTINGS),
     ]
     found = {name: _on(source, q) for source, group in groups for name, q in group.items()}
-    found.update(ON_TABLES)
+    from checks.stored import STORED
+
+    found |= ON_TABLES | STORED
     return {name: _in_utc(query) for name, query in found.items()}

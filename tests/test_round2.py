@@ -8,10 +8,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from txrisk.operators import prepare
+from txrisk.operators.amounts import amount_stats
 from txrisk.operators.frequency import txn_frequency
-from txrisk.operators.profile import summary_stats
-from txrisk.operators.sequence import previous_row
+from txrisk.operators.profile import distinct_rows, summary_stats
+from txrisk.operators.sequence import HIGH_BITS, LOW_BITS, MIDDLE_BITS, previous_row
 from txrisk.plans import investigate
+from txrisk.plans.scoring import score
 from txrisk.sources.tables import recover_table, replace_table
 from txrisk.spec import SkewPolicy
 
@@ -84,3 +86,35 @@ def test_approximate_summary_is_near_the_exact(spark, tx):
 def test_broadcast_bound_is_checked():
     with pytest.raises(ValueError, match="broadcast"):
         SkewPolicy(max_keys=10**9)
+
+
+def test_hashed_ids_at_one_moment(spark):
+    rows = spark.range(20_000).selectExpr(
+        "1L AS user_id", "timestamp_seconds(0) AS timestamp", "xxhash64(id) AS transaction_id", "id AS n"
+    )
+    rows = rows.unionByName(rows.limit(1).selectExpr("user_id", "timestamp", "CAST(NULL AS BIGINT) AS transaction_id", "-1L AS n"))
+    found = [
+        {tuple(r) for r in previous_row(rows, ["n"], p).select("n", "previous.n").collect()} for p in PLANS
+    ]
+    assert len(found[0]) == 20_001 and found[0] == found[1] == found[2]
+    # No group has more members than the bits that tell them apart.
+    assert HIGH_BITS + MIDDLE_BITS + LOW_BITS == 64 and max(HIGH_BITS, MIDDLE_BITS, LOW_BITS) <= 22
+
+
+def test_quantiles_of_one_series_need_no_nested_loop(spark, tx):
+    for df in (amount_stats(tx, exact=True), score(tx, exact=True, policy=None)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_values_of_users_are_rows(spark):
+    rows = spark.sql(
+        "SELECT * FROM VALUES (1L, 'a'), (1L, 'b'), (1L, 'b'), (1L, NULL), (2L, 'a'), (NULL, 'c') v(user_id, device)"
+    )
+    found = investigate.values_of_users(rows, "device", minimum=2).collect()
+    assert sorted(map(tuple, found)) == [(1, "a", 1, 2, 3), (1, "b", 2, 2, 3)]
+
+
+def test_distinct_rows(spark):
+    rows = spark.sql("SELECT * FROM VALUES (1, NULL), (1, NULL), (1, 'a'), (NULL, NULL) v(a, b)")
+    assert distinct_rows(rows).count() == 3 and distinct_rows(rows.limit(0)).count() == 0

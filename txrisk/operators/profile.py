@@ -34,6 +34,11 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
     )
 
 
+def distinct_rows(df: DataFrame) -> DataFrame:
+    """The rows without their copies; each task drops its own copies before the shuffle."""
+    return df.distinct()
+
+
 def summary(df: DataFrame) -> DataFrame:
     """Spark's own text summary: count, mean, stddev, min, quartiles, max."""
     return df.summary()

@@ -38,17 +38,17 @@ def exact_quantiles(
     margin = Decimal(2) / accuracy
     wanted = [Decimal(p) for p in probabilities]
     around = sorted({min(Decimal(1), max(Decimal(0), p + d)) for p in wanted for d in (-margin, margin)})
-    # One row per series, hence broadcast.
-    brackets = rows.groupBy("series").agg(
-        F.array_sort(F.percentile_approx("v", [float(p) for p in around], accuracy)).alias("e")
-    )
+    bracket = F.array_sort(F.percentile_approx("v", [float(p) for p in around], accuracy)).alias("e")
+    if series is None:
+        bracketed = rows.withColumn("e", rows.agg(bracket).scalar())
+    else:
+        bracketed = rows.join(rows.groupBy("series").agg(bracket), "series")
     edges = [F.get("e", F.lit(i)) for i in range(len(around))]
     seg = sum(((edge < F.col("v")).cast("int") for edge in edges), F.lit(0))
     low, high = F.get("e", F.col("seg") - 1), F.get("e", F.col("seg"))
     share = (F.col("v") - low) / (high - low)
     placed = (
-        rows.join(F.broadcast(brackets), "series")
-        .withColumn("seg", seg)
+        bracketed.withColumn("seg", seg)
         .select("series", "v", "seg", F.coalesce(F.floor(share * SLICES), F.lit(0)).alias("slice"))
     )
 
@@ -69,12 +69,12 @@ def exact_quantiles(
         .filter((F.col("rank") > F.col("below")) & (F.col("rank") <= F.col("upto")))
         .drop("upto")
     )
-    # At most two targets per series and probability, hence broadcast. Only rows
-    # of a target's slice go on, counted per value.
+    # Only rows of a target's slice go on, counted per value. A single series has at
+    # most two targets per probability, hence broadcast.
     target = ["series", "probability", "rank", "weight", "below"]
     inside = Window.partitionBy(*target).orderBy("v")
     found = (
-        placed.join(F.broadcast(targets), ["series", "seg", "slice"])
+        placed.join(F.broadcast(targets) if series is None else targets, ["series", "seg", "slice"])
         .groupBy(*target, "v")
         .agg(F.count("*").alias("n"))
         .select(*target, "v", F.sum("n").over(inside).alias("reached"))

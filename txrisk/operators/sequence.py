@@ -13,8 +13,8 @@ from txrisk.spec import SkewPolicy
 
 ORDER = ["timestamp", "transaction_id"]
 SECONDS_PER_BIN = 86400
-IDS_PER_BLOCK = 65536
-LOWEST_BLOCK = -(2**62)  # rows without an id come first
+HIGH_BITS, MIDDLE_BITS, LOW_BITS = 22, 21, 21  # of a 64-bit id
+BEFORE_ALL = -(2**62)  # rows without an id come first
 
 
 def _order(columns: list[str]) -> list[str]:
@@ -27,9 +27,10 @@ def previous_by_window(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 # Nested groups of a user's rows, outermost first. Each level has a bounded number
-# of members in a group of the level above: days of a history, seconds of a day,
-# microseconds of a second, blocks of ids at one time, ids of a block.
-LEVELS = [["user_id"], ["_timed", "_day"], ["_second"], ["_time"], ["_block"]]
+# of members in a group of the level above, however the ids are chosen: days of a
+# history, seconds of a day, microseconds of a second, then the high and the middle
+# bits of the ids at one time. Rows that differ in the low bits only are sorted.
+LEVELS = [["user_id"], ["_timed", "_day"], ["_second"], ["_time"], ["_high"], ["_middle"]]
 
 
 def previous_by_levels(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -46,7 +47,8 @@ def previous_by_levels(df: DataFrame, columns: list[str]) -> DataFrame:
             "timestamp IS NOT NULL AS _timed",
             "coalesce(unix_timestamp(timestamp), 0) AS _second",
             "coalesce(timestamp, timestamp_seconds(0)) AS _time",
-            f"coalesce(floor(transaction_id / {IDS_PER_BLOCK}), {LOWEST_BLOCK}) AS _block",
+            f"coalesce(shiftright(transaction_id, {MIDDLE_BITS + LOW_BITS}), {BEFORE_ALL}) AS _high",
+            f"coalesce(shiftright(transaction_id, {LOW_BITS}) & {2**MIDDLE_BITS - 1}, 0) AS _middle",
         )
         .selectExpr("*", f"floor(_second / {SECONDS_PER_BIN}) AS _day")
     )

@@ -238,21 +238,35 @@ def behaviour_change(df: DataFrame, threshold: float = 2.0, days: int = 7) -> Da
 
 
 def users_with_many(df: DataFrame, column: str, minimum: int = 3) -> DataFrame:
-    """Users with at least ``minimum`` distinct values, and which ones."""
+    """Users with at least ``minimum`` distinct values, and how many; see ``values_of_users``."""
     return (
-        df.filter(F.col("user_id").isNotNull() & F.col(column).isNotNull())
-        .groupBy("user_id", column)
-        .agg(F.count("*").alias("n"))
+        _values(df, column)
         .groupBy("user_id")
         .agg(
             F.count("*").alias("distinct_values"),
-            F.array_sort(F.collect_list(column)).alias("value_list"),
-            F.sum("n").alias("transaction_count"),
+            F.sum("value_count").alias("transaction_count"),
         )
         .filter(F.col("distinct_values") >= minimum)
     )
 
 
+def values_of_users(df: DataFrame, column: str, minimum: int = 3) -> DataFrame:
+    """Which values those users have: one row per user and value, so that a user
+    with any number of values (device fingerprints) is never one row."""
+    users = users_with_many(df, column, minimum)
+    return _values(df, column).join(users, "user_id").select(
+        "user_id", "value", "value_count", "distinct_values", "transaction_count"
+    )
+
+
+def _values(df: DataFrame, column: str) -> DataFrame:
+    return (
+        df.filter(F.col("user_id").isNotNull() & F.col(column).isNotNull())
+        .groupBy("user_id", F.col(column).alias("value"))
+        .agg(F.count("*").alias("value_count"))
+    )
+
+
 def top_risk_per_user(scored: DataFrame, n: int = 3) -> DataFrame:
     """Each user's ``n`` worst transactions; every task keeps only ``n`` per user."""
     worst = Window.partitionBy("user_id").orderBy(

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txrisk.operators.prepare import prepare, reject_counts
+from txrisk.operators.prepare import cast_to_schema, dedup_audit, dedup_by_id, reject_counts
 from txrisk.plans.scoring import score
 from txrisk.sources.readers import read_transactions
+from txrisk.sources.staging import stage
 from txrisk.sources.tables import replace_table
 from txrisk.spec import RiskSpec, SkewPolicy
 
@@ -24,10 +25,13 @@ def build_transactions(
     """Read, type, de-duplicate and store the transactions.
 
     What was removed is stored as ``<table>_rejects``, and how many values of each
-    column did not fit its type as ``<table>_reject_counts``.
+    column did not fit its type as ``<table>_reject_counts``. The typed rows are
+    staged, so that text is parsed once for the rows and once for the counts, and
+    rows without an id are found by the statistics of the staged files.
     """
     raw = read_transactions(spark, path, fmt)
-    prepared, audit = prepare(raw, lenient, null_ids, nan_to_null)
+    typed = stage(cast_to_schema(raw, lenient=lenient, nan_to_null=nan_to_null), "typed")
+    prepared, audit = dedup_by_id(typed, null_ids), dedup_audit(typed)
     replace_table(audit, f"{table}_rejects")
     replace_table(reject_counts(raw), f"{table}_reject_counts")
     replace_table(prepared, table, by_month)
