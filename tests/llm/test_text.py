@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import json
 import zlib
@@ -126,6 +127,61 @@ def test_secret_layers(spark):
     assert (found[2].spans, found[2].base_sha256, found[2].n_hex) == ("", sha(""), 0)
 
 
+NOISE = "".join(hashlib.sha256(bytes([k])).hexdigest()[:7] + "é\n" for k in range(40))
+SECRET = f"{NOISE} password=hunter22 {NOISE}".encode()
+
+
+def b64(data: bytes) -> str:
+    return base64.b64encode(data).decode()
+
+
+def gz(data: bytes) -> bytes:
+    return gzip.compress(data, mtime=0)
+
+
+def lines(text: str, width: int, between: str) -> str:
+    return between.join(text[k : k + width] for k in range(0, len(text), width))
+
+
+@pytest.mark.parametrize(
+    "run",
+    [
+        lines(b64(gz(SECRET)), 64, "\n"),
+        lines(b64(zlib.compress(SECRET)), 76, "\r\n    "),
+        lines(b64(SECRET), 76, "\\n"),
+        "KEY-----\n" + lines(b64(gz(SECRET)), 64, "\n") + "\n-----END",
+        lines(b64(b"x" * 40 + b" password=hunter22"), 64, "\n"),
+        "api/cGFzc3dvcmQ9aHVudGVyMjI=",
+        "session_" + b64(b"password=hunter22"),
+        "abc-" + b64(gz(SECRET)).rstrip("=") + "/next-part",
+        "x" + b64(b"password=hunter22"),
+        b64("né password=hunter22".encode("latin-1")),
+        b64(gz("né password=hunter22".encode("latin-1"))),
+        b64(gz(SECRET) + gz(SECRET)),
+        b64(gz(base64.b64encode(zlib.compress(zlib.compress(SECRET))))),
+        b64(gz(SECRET)[:-4] + b"\0\0\0\0"),
+        quote(gz(SECRET), safe=""),
+        "data=" + quote(zlib.compress(SECRET)),
+        quote(zlib.compress(SECRET), safe=" ").replace(" ", "+"),
+        "".join(f"\\x{b:02x}" for b in gz(SECRET)),
+        "é" + "".join(f"\\u{b:04x}" for b in zlib.compress(SECRET)),
+        repr(zlib.compress(SECRET)),
+    ],
+)
+def test_secret_runs_wrapped_glued_latin_and_compressed(run):
+    text = f"see {run} ."
+    base, spans, _ = secrets.findings(text)
+    assert base == []
+    assert [k for _, k, _ in spans if k == 0] and all(4 <= s < e <= 4 + len(run) for s, _, e in spans)
+
+
+def test_secret_runs_of_noise_hold_nothing():
+    noise = b"".join(hashlib.sha256(bytes([k])).digest() for k in range(200))
+    text = f"{lines(b64(noise), 76, chr(10))} {quote(noise)} {noise!r}"
+    assert secrets.findings(text)[1] == []
+    assert secrets.findings(b64(gz(b"")) + " " + "A" * 5000)[1] == []
+
+
 @pytest.mark.parametrize("compression", ["none", "gzip"])
 def test_archives(spark, compression):
     rows = [(k, f"http://x/{k}", "p" * 200 if k % 3 else f"own {k} \r\n\r\n é" * k) for k in range(30)]

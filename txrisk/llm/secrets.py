@@ -1,21 +1,24 @@
 """Secret scans through nested encodings.
 
 Every text is a worklist of layers, first the text itself. A layer is scanned for secrets; its runs of
-percent escapes, Unicode escapes and base64 (inflated if compressed) are unwrapped into new layers until
-there is nothing left to unwrap. A layer that was seen at the same place of the text is not taken up
+percent escapes, Unicode escapes and base64 are unwrapped into new layers until there is nothing left to
+unwrap. Runs are unwrapped to bytes: what is compressed anywhere in them is a layer too, and bytes that are
+no UTF-8 are replaced. Base64 is decoded at all four offsets, so what is glued to it does not matter, and
+over line breaks besides line by line. A layer that was seen at the same place of the text is not taken up
 again, which ends cycles. What is found in a layer is reported at the span of the outermost run it
 came from.
 """
 
 from __future__ import annotations
 
-import base64
+import ast
 import binascii
-import gzip
 import hashlib
 import html
 import re
+import warnings
 import zlib
+from collections.abc import Iterator
 from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
@@ -41,7 +44,20 @@ PATTERNS = (
 ESCAPED = re.compile(r"%[0-9A-Fa-f]{2}")
 UNICODE = re.compile(r"\\u[0-9A-Fa-f]{4}|\\x[0-9A-Fa-f]{2}|&#(?:[0-9]{1,7}|x[0-9A-Fa-f]{1,6});")
 NOT_BLANK = re.compile(r"\S+")
+BYTES_LITERAL = re.compile(r"""b(['"])(?:[^\\]|\\.)*?\1""", re.DOTALL)
 BASE64_RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: Base64 with nothing but line breaks, written as themselves or as escapes, and indentation in it.
+BREAK = re.compile(r"[\x20\t]*(?:[\r\n]|\\[rn])(?:[\x20\t-\r]|\\[rn])*")
+WRAPPED_RUN = re.compile(
+    rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]++(?:{BREAK.pattern}[A-Za-z0-9+/_-]++)+={{0,2}}"
+)
+#: The first bytes of gzip and zlib streams.
+HEADS = re.compile(
+    b"\x1f\x8b\x08|"
+    + b"|".join(re.escape(bytes([a, b])) for a in range(8, 128, 16) for b in range(256) if (a * 256 + b) % 31 == 0 and not b & 32)
+)
+#: No secret, and no encoded run that holds one, is shorter than ``token=abcdef``.
+LEAST = re.compile(r"[\t-\r\x20-~]{12}")
 
 SPANS = "doc_id long, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long"
 
@@ -56,58 +72,109 @@ def scan(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
-def _unescape(run: str) -> str:
+def _unescape(run: str) -> tuple[str, bytes]:
+    """The run without escapes, and its characters as single bytes."""
+
     def one(m: re.Match) -> str:
         s = m.group()
         if s[0] == "&":
             return html.unescape(s)
         return chr(int(s[2:], 16))
 
-    # Pairs of surrogates stand for one character.
     text = UNICODE.sub(one, run)
-    return text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    # Pairs of surrogates stand for one character.
+    whole = text.encode("utf-16-le", "surrogatepass").decode("utf-16-le", "replace")
+    return whole, text.encode("latin-1", "replace")
 
 
-def _inflate(data: bytes) -> bytes:
-    """The content of compressed bytes, layer after layer; other bytes as they are."""
-    seen = set()
-    while (head := data[:2]) and (head == b"\x1f\x8b" or (head[0] & 15 == 8 and int.from_bytes(head, "big") % 31 == 0)):
-        key = hashlib.sha256(data).digest()
-        if key in seen:
-            break
-        seen.add(key)
+def _inflate(data: memoryview) -> tuple[bytes, int]:
+    """What the stream at the start of ``data`` holds, up to its end or first error, and the bytes it
+    takes up: none if it has an error. Gzip members in a row are one stream."""
+    out: list[bytes] = []
+    for step in (65_536, 1):
+        d, out, at = zlib.decompressobj(47), [], 0
         try:
-            data = gzip.decompress(data) if head == b"\x1f\x8b" else zlib.decompress(data)
-        except (OSError, EOFError, zlib.error):
-            break
-    return data
+            while at < len(data):
+                part = data[at : at + step]
+                out.append(d.decompress(part))
+                at += len(part) - len(d.unused_data)
+                if d.eof:
+                    if data[at : at + 2] != b"\x1f\x8b":
+                        break
+                    d = zlib.decompressobj(47)
+            return b"".join(out), at
+        except zlib.error:
+            pass
+    return b"".join(out), 0
+
+
+def _streams(data: bytes) -> Iterator[bytes]:
+    """The contents of the compressed streams in ``data``."""
+    at = 0
+    while m := HEADS.search(data, at):
+        content, size = _inflate(memoryview(data)[m.start() :])
+        if content:
+            yield content
+        at = m.start() + (size or 1)
+
+
+def _contents(*layers: bytes) -> Iterator[bytes]:
+    """The bytes and all that is compressed in them, layer after layer."""
+    work, seen = list(layers), set()
+    while work:
+        data = work.pop()
+        key = hashlib.sha256(data).digest()
+        if key not in seen:
+            seen.add(key)
+            yield data
+            work.extend(_streams(data))
 
 
-def _from_base64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    if len(body) % 4 == 1:
-        return None
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4))
-        return _inflate(data).decode("utf-8")
-    except (binascii.Error, ValueError):
-        return None
+def _from_base64(run: str) -> Iterator[bytes]:
+    """The bytes of a run at each of the four offsets."""
+    body = BREAK.sub("", run).rstrip("=").replace("-", "+").replace("_", "/")
+    for k in range(4):
+        part = body[k:]
+        if len(part) % 4 == 1:  # six bits are no byte
+            part = part[:-1]
+        yield binascii.a2b_base64(part + "=" * (-len(part) % 4))
 
 
 def unwrapped(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, content) of the encoded runs of a layer."""
+    """(start, end, content) of the encoded runs of a layer that may hold something."""
     out = []
+
+    def put(m: re.Match, *layers: bytes) -> None:
+        for data in _contents(*layers):
+            content = data.decode("utf-8", "replace")
+            if LEAST.search(content):
+                out.append((m.start(), m.end(), content))
+
     if ESCAPED.search(text):
         for m in NOT_BLANK.finditer(text):
-            if "%" in m.group() and ESCAPED.search(m.group()):
-                out.append((m.start(), m.end(), unquote_to_bytes(m.group()).decode("utf-8", "replace")))
+            run = m.group()
+            if "%" in run and ESCAPED.search(run):
+                put(m, unquote_to_bytes(run))
+                if "+" in run:  # forms write a blank so
+                    put(m, unquote_to_bytes(run.replace("+", " ")))
     if UNICODE.search(text):
         for m in NOT_BLANK.finditer(text):
             if UNICODE.search(m.group()):
-                out.append((m.start(), m.end(), _unescape(m.group())))
+                content, data = _unescape(m.group())
+                out.append((m.start(), m.end(), content))
+                put(m, *_streams(data))
+        for m in BYTES_LITERAL.finditer(text):
+            if "\\x" in m.group():
+                try:
+                    with warnings.catch_warnings(action="ignore"):
+                        put(m, ast.literal_eval(m.group()))
+                except (SyntaxError, ValueError):
+                    continue
     for m in BASE64_RUN.finditer(text):
-        if (content := _from_base64(m.group())) is not None:
-            out.append((m.start(), m.end(), content))
+        put(m, *_from_base64(m.group()))
+    for m in WRAPPED_RUN.finditer(text):
+        if m.end() - m.start() > 16:
+            put(m, *_from_base64(m.group()))
     return out
 
 
