@@ -57,6 +57,23 @@ def test_fractions_are_rejected(spark):
         prepare.cast_to_schema(raw, schema).collect()
 
 
+def test_small_fractions_are_rejected(spark):
+    schema = prepare.TRANSACTIONS.__class__([f for f in prepare.TRANSACTIONS if f.name == "transaction_id"])
+    whole = ["5", " +5.000000000 ", "5.", "-0", "1.5e1", "15E-0", "1500e-2", "0e-9", ".0", "12.0", "9007199254740993"]
+    cut = ["5.0000004", "4.9999999999999", "-5." + "0" * 30 + "1", "1.55e1", "15e-1", "1e-9", ".0000001", "1e-99999999999"]
+    raw = spark.createDataFrame([(x,) for x in [*whole, *cut, "x", None]], "transaction_id string")
+    found = [r[0] for r in prepare.cast_to_schema(raw, schema, lenient=True).collect()]
+    assert found == [5, 5, 5, 0, 15, 15, 15, 0, 0, 12, 9007199254740993] + [None] * (len(cut) + 2)
+    assert prepare.reject_counts(raw, schema).collect() == [("transaction_id", len(cut) + 1)]
+    for kind, value in (("double", "5.0000004"), ("float", "1e-7"), ("decimal(38,18)", "5.000000000000000001")):
+        one = spark.sql(f"SELECT CAST(v AS {kind}) AS transaction_id FROM VALUES ('{value}'), ('5') t(v)")
+        assert [r[0] for r in prepare.cast_to_schema(one, schema, lenient=True).collect()] == [None, 5]
+        with pytest.raises(Exception, match="whole number"):
+            prepare.cast_to_schema(one, schema).collect()
+    with pytest.raises(Exception, match="whole number"):
+        prepare.cast_to_schema(raw.filter("transaction_id = '5.0000004'"), schema).collect()
+
+
 def test_replace_table_refuses_leftovers_and_recovers(spark):
     replace_table(spark.range(3), "crash_test")
     spark.range(5).write.saveAsTable("crash_test__staging")

@@ -11,6 +11,9 @@ from txrisk.schema import TRANSACTIONS
 ID = "transaction_id"
 BOOLEAN_WORDS = {"true": "1", "false": "0"}
 DECIMAL_TEXT = T.DecimalType(38, 6)  # whole numbers may be written as 12.0
+#: A number as text: the digits before the point, those after it, the exponent.
+NUMBER = r"^[\x00-\x20]*[+-]?([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?[\x00-\x20]*$"
+FRACTION = r"^[\x00-\x20]*[+-]?[0-9]*\.0*[1-9][0-9]*[\x00-\x20]*$"
 
 
 def _typed(df: DataFrame, field: T.StructField, lenient: bool) -> Column:
@@ -25,20 +28,28 @@ def _typed(df: DataFrame, field: T.StructField, lenient: bool) -> Column:
         steps.insert(0, DECIMAL_TEXT)
     elif isinstance(have, T.FractionalType) and isinstance(field.dataType, T.IntegralType):
         steps.insert(0, DECIMAL_TEXT)
+    if len(steps) > 1:
+        # Before the decimal cast, which rounds.
+        raw = F.col(field.name)
+        fraction = _has_fraction(raw) if isinstance(have, T.StringType) else raw % 1 != 0
+        refused = None if lenient else _not_whole(raw, field.name)
+        column = F.when(fraction, refused).otherwise(column)
     for step in steps:
-        if step == field.dataType and len(steps) > 1:
-            column = _whole(column, field.name, lenient)
         column = column.try_cast(step) if lenient else column.cast(step)
     return column
 
 
-def _whole(number: Column, name: str, lenient: bool) -> Column:
-    """``number`` where it has no fraction; else NULL, or an error."""
-    whole = F.when(number == F.floor(number), number)
-    if lenient:
-        return whole
-    error = F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), number.cast("string")))
-    return F.when(number.isNull() | (number == F.floor(number)), number).otherwise(error)
+def _not_whole(number: Column, name: str) -> Column:
+    return F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), number.cast("string")))
+
+
+def _has_fraction(text: Column) -> Column:
+    """Whether a number written as text has digits other than 0 after its point, however many there are.
+    What is no number is left to the cast."""
+    before, after, power = (F.regexp_extract(text, NUMBER, k) for k in (1, 2, 3))
+    moved = F.coalesce(power.try_cast("int"), F.lit(0))
+    behind = F.when(moved >= 0, F.substr(after, moved + 1)).otherwise(F.concat(F.right(before, -moved), after))
+    return F.when(text.rlike("[0-9.][eE]"), behind.rlike("[^0]")).otherwise(text.rlike(FRACTION))
 
 
 def cast_to_schema(
