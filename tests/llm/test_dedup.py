@@ -171,6 +171,13 @@ def test_leaks(spark, probed):
     assert {x.doc_id for x in clean.collect()} == {x[0] for x in rows} - {x[0] for x in want}
 
 
+def test_items_without_an_id_are_taken_out(spark):
+    texts = [f"{' '.join(f'{k}w{n}' for n in range(20))}" for k in range(3)]
+    docs = spark.createDataFrame([(k, f"so {t} on", "", "", 0) for k, t in enumerate(texts)], DOCS)
+    items = spark.createDataFrame([(None, texts[0]), (None, texts[1]), (None, None)], "item_id long, text string")
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [2]
+
+
 def test_leaks_of_nothing(spark):
     docs, none = spark.createDataFrame(corpus(6), DOCS), spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.leaks(docs, none).count() == 0

@@ -136,6 +136,8 @@ def _joined(read: DataFrame, sketch: DataFrame, width: int, near) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: int = CONTAINMENT) -> DataFrame:
-    """``docs`` without the documents that hold a test item; its columns as they are."""
-    found = leaks(docs, benchmark, containment).select(F.col("row_key").alias("_found")).distinct()
+    """``docs`` without the documents that hold a test item; its columns as they are. Items are told
+    apart by their words, so those without an id count too."""
+    items = benchmark.select(F.xxhash64(tokens("text")).alias("item_id"), "text")
+    found = leaks(docs, items, containment).select(F.col("row_key").alias("_found")).distinct()
     return docs.join(store(found, "leaked"), F.xxhash64("doc_id", "text") == F.col("_found"), "left_anti")
