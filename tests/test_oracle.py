@@ -1,11 +1,13 @@
-"""Every registered query against its DuckDB oracle."""
+"""Every query of the core against its DuckDB oracle; tests/llm has those of the corpus operators."""
 
 from __future__ import annotations
 
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
 from checks.compare import difference
+from checks.oracle import oracle_sql
+from checks.queries import queries
 
 QUERIES, SQL = queries(), oracle_sql()
 
