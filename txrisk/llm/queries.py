@@ -14,12 +14,15 @@ from txrisk.llm import (
     decontaminate,
     exact_dedup,
     frames,
+    hard_negatives,
     language,
     ngram_join,
+    pieces,
     quality,
     secrets,
     substring_dedup,
     warc,
+    whitening,
 )
 
 
@@ -78,6 +81,20 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_spans(table(spark, sf_dir, "documents"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened_components(table(spark, sf_dir, "embeddings"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(hard_negatives.prepared(vectors, label), F.col("vec_id") % 100 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     import corpus_pipeline
 
@@ -92,5 +109,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_chat,
         op10_secrets,
+        op11_whitening,
+        op12_sentencepiece,
+        op13_hard_negatives,
     ]
     return {f.__name__: f for f in own} | {"pipeline": corpus_pipeline.run}
