@@ -369,6 +369,25 @@ def _listing() -> str:
     return f'SELECT * FROM (VALUES {rows}) v(position, "column", type, nullable)'
 
 
+# Lines of the postings file that are damaged on purpose, and why they are not taken.
+_DAMAGED = """
+WITH p AS (
+  SELECT l_orderkey % 40 AS fault, l_returnflag AS country,
+         concat(l_orderkey, ',', l_suppkey, ',', strftime(l_shipdate, '%Y-%m-%d %H:%M:%S'), ',',
+                CAST(l_extendedprice AS DECIMAL(18,2)), ',') AS front,
+         concat(',', l_linestatus, ',', l_linenumber, ',', l_linenumber, ',', l_returnflag, ',',
+                CASE WHEN l_linestatus = 'O' THEN 'true' ELSE 'false' END, ',',
+                CAST(l_quantity AS DECIMAL(10,1))) AS rear,
+         CASE WHEN l_discount > 0.05 THEN ',1' WHEN l_discount > 0 THEN ',0' ELSE ',' END AS fraud
+  FROM lineitem
+)
+SELECT 'surplus fields' AS reason, concat(front, country, rear, fraud, ',extra') AS line FROM p WHERE fault = 1
+UNION ALL SELECT 'missing fields', concat(front, country, rear) FROM p WHERE fault = 2
+UNION ALL SELECT 'open quote', concat(front, '"', country, rear, fraud) FROM p WHERE fault = 3
+UNION ALL SELECT 'open quote', concat(front, '"', country) FROM p WHERE fault = 4
+UNION ALL SELECT 'open quote', concat('x"', rear, fraud) FROM p WHERE fault = 4
+UNION ALL SELECT 'stray quote', concat(front, country, '"b"', rear, fraud) FROM p WHERE fault = 5"""
+
 _KEPT = f"""SELECT {_cols(TX_COLUMNS)} FROM postings QUALIFY row_number() OVER
             (PARTITION BY transaction_id ORDER BY {_POSTING_ORDER}) = 1"""
 _REMOVED = f"""
@@ -404,6 +423,7 @@ _TIMELINE = on_scored(
         risk_level, sec - lag(sec) OVER (PARTITION BY user_id ORDER BY "timestamp", transaction_id)
         AS gap_seconds FROM scored"""
     )
+_NAMED = "(0, 1, 2, 3, 17, 30)"
 _FREQUENCY = on_behaviour("SELECT transaction_id, user_id, txn_count_1hr, txn_count_24hr FROM freq")
 
 
@@ -590,10 +610,18 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
         "dedup_by_id": on_postings(_KEPT),
         "dedup_audit": on_postings(_REMOVED),
         "csv_transactions": on_postings(f"SELECT {_cols(TX_COLUMNS)} FROM postings"),
+        "csv_sound_transactions": on_postings(
+            f"SELECT {_cols(TX_COLUMNS)} FROM postings WHERE transaction_id % 40 NOT BETWEEN 1 AND 5"
+        ),
+        "csv_rejected_lines": _DAMAGED,
         "stored_transactions": on_postings(_KEPT),
         "stored_rejects": on_postings(_REMOVED),
         "stored_reject_counts": _rejects(),
         "stored_scored": _ALL_SCORED,
+        "timeline_of_users": f"SELECT * FROM ({_TIMELINE}) WHERE user_id IN {_NAMED}",
+        "profile_of_users": f"SELECT * FROM ({on_scored(_PROFILE)}) WHERE user_id IN {_NAMED}",
+        "worst_of_users": f"SELECT * FROM ({on_scored(_WORST)}) WHERE user_id IN {_NAMED}",
+        "rescored_after_append": _ALL_SCORED,
         "schema_listing": _listing(),
         "table_listing": """SELECT * FROM (VALUES ('payments'), ('payments_reject_counts'),
             ('payments_rejects')) v(table_name)""",

@@ -77,6 +77,23 @@ def cast_to_schema(
     return df.select(columns)
 
 
+def bad_columns(df: DataFrame, schema: T.StructType = TRANSACTIONS) -> Column:
+    """Names of the columns of a row whose values do not fit the schema."""
+    present = [f for f in schema if f.name in df.columns]
+    bad = [
+        F.when(F.col(f.name).isNotNull() & _typed(df, f, lenient=True).isNull(), f.name)
+        for f in present
+    ]
+    return F.array_compact(F.array(*bad))
+
+
+def counts_of_bad(df: DataFrame, column: str, schema: T.StructType = TRANSACTIONS) -> DataFrame:
+    """What ``reject_counts`` gives, from rows that have their ``bad_columns`` in ``column``."""
+    names = [f.name for f in schema if f.name in df.columns]
+    counts = df.agg(*[F.count_if(F.array_contains(column, n)).alias(n) for n in names])
+    return counts.unpivot([], names, "column", "rejected")
+
+
 def reject_counts(df: DataFrame, schema: T.StructType = TRANSACTIONS) -> DataFrame:
     """Per column, how many non-NULL values do not fit the schema; one pass."""
     present = [f for f in schema if f.name in df.columns]

@@ -64,11 +64,14 @@ def score(
     policy: SkewPolicy | None = SkewPolicy(),
 ) -> DataFrame:
     """The 29 columns of the scored table; expects unique transaction ids."""
-    stats = stats_struct(df, spec, exact, accuracy)
+    return score_with(with_behaviour(df, spec, policy), stats_struct(df, spec, exact, accuracy), spec)
+
+
+def score_with(rows: DataFrame, stats: Column, spec: RiskSpec = RiskSpec()) -> DataFrame:
+    """The same from rows that have their behaviour columns, by given amount statistics; no shuffle."""
     flags = [indicator.flag for indicator in indicators(spec)]
     return (
-        with_behaviour(df, spec, policy)
-        .select("*", *stats_columns(stats))
+        rows.select("*", *stats_columns(stats))
         .selectExpr("*", *flags)
         .selectExpr("*", risk_score(spec))
         .withColumn("risk_level", band(F.col("risk_score"), spec.bands))

@@ -28,10 +28,15 @@ def shared_folder(spark: SparkSession) -> str:
     return _local_folders[application]
 
 
+def new_path(spark: SparkSession, name: str) -> str:
+    """A folder of its own for files of this session."""
+    return f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the files: later queries read only the
     columns they need and do not repeat the work behind ``df``."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.parquet(path)
