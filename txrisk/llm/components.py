@@ -28,15 +28,26 @@ def _summary(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_000_007)).first())
 
 
+def _edges(links: DataFrame) -> DataFrame:
+    return links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
+
+
+def partly_connected(links: DataFrame) -> DataFrame:
+    """(a, b): every node of ``links`` with a node it is connected to, the smallest one after one round.
+
+    Nodes of one ``b`` are connected; connected nodes may still have different ones. The rows connect
+    just what ``links`` connect, and there are at most as many as nodes and links left between stars.
+    """
+    round_ = _small_star(_large_star(_edges(links)).distinct()).distinct()
+    return store(round_.select(F.col("u").alias("a"), F.col("v").alias("b")), "stars")
+
+
 def connected(links: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(node, part) for every node of links (a, b); ``part`` is the smallest node reached.
 
     Every round is written to the shared folder; rounds grow with the logarithm of the longest path.
     """
-    edges = store(
-        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
-    state = _summary(edges)
+    edges, state = _edges(links), None
     for _ in range(rounds):
         edges = store(_small_star(_large_star(edges).distinct()).distinct(), "edges")
         now = _summary(edges)

@@ -23,15 +23,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txrisk.llm.components import connected
-from txrisk.llm.frames import PACKED, buckets, pack, packed_rows, store, unpack
+from txrisk.llm.components import connected, partly_connected
+from txrisk.llm.frames import PACKED, pack, packed_rows, store, unpack
 from txrisk.llm.words import shingle_sets
 
 WIDTH = 5
 SIMILARITY = 75
 #: Classes of a posting list that the others are paired with, round by round, before all pairs of
 #: classes that are still apart. Few are apart later, so more leaders cost little.
-LEADERS = (8, 64, 512)
+LEADERS = (8, 128)
 
 KEYED = "doc_id long, text_hash long, digest binary, chunk int, text binary"
 CLASSES = (
@@ -39,6 +39,8 @@ CLASSES = (
     "order_a array<long>, order_b array<long>, order_c array<long>"
 )
 TOKEN_BITS = 48
+#: Classes of a posting list that one task meets all others with.
+SPLIT = 512
 
 
 def _words_digest(text: bytes | None) -> tuple[bytes, bytes]:
@@ -92,7 +94,7 @@ def shingle_classes(docs: DataFrame, similarity: int = SIMILARITY, width: int =
     percent of the set occurs in other classes, its repeated shingles and its prefixes under three orders.
     """
     spark = docs.sparkSession
-    count = buckets(spark)
+    count = int(spark.conf.get("spark.sql.shuffle.partitions"))  # chunks, and buckets of shingles
 
     def send(table: pa.Table) -> pa.Table:
         chunk = table.column("chunk")[0].as_py()
@@ -209,22 +211,38 @@ def _verified(pairs: DataFrame, classes: DataFrame, similarity: int) -> DataFram
     )
 
 
-def _open_lists(postings: DataFrame, links: DataFrame) -> DataFrame:
-    """The postings of shingles whose classes are not yet all in one part."""
-    groups = connected(links).withColumnRenamed("node", "uid")
-    marked = postings.drop("part").join(groups, "uid", "left").withColumn("part", F.coalesce("part", "uid"))
-    marked = store(marked, "marked")
-    mixed = marked.groupBy("token").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).filter("lo <> hi")
-    return store(marked.join(mixed.select("token"), "token", "left_semi"), "open")
+def _open_lists(postings: DataFrame, stars: DataFrame, done: int) -> DataFrame:
+    """The postings of lists that still hold pairs to be made: of more than ``done`` classes, in several
+    parts as far as ``stars`` (a, b) tell. Each with its part and the size of its list."""
+    nearest = stars.groupBy("a").agg(F.min("b").alias("part"))
+    named = stars.select("b").distinct().select(F.col("b").alias("a"), F.col("b").alias("part"))
+    # A node that others are tied to is its own part unless it is tied to a smaller one itself.
+    part_of = nearest.unionByName(named).groupBy("a").agg(F.min("part").alias("part")).withColumnRenamed("a", "uid")
+    marked = postings.drop("part", "size").join(part_of, "uid", "left").withColumn("part", F.coalesce("part", "uid"))
+    several = (
+        marked.groupBy("token")
+        .agg(F.min("part").alias("lo"), F.max("part").alias("hi"), F.count("*").alias("size"))
+        .filter((F.col("lo") != F.col("hi")) & (F.col("size") > done))
+    )
+    return store(marked.join(several.select("token", "size"), "token"), "open")
+
+
+def _salted(members: DataFrame, others: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a ``salt``: the members of a list are dealt into splits of about SPLIT classes, the
+    others go to every split of their list, so that no task meets a whole long list."""
+    splits = F.ceil(F.col("size") / SPLIT).cast("int")
+    dealt = members.withColumn("salt", F.pmod(F.xxhash64("uid", "token"), splits).cast("int"))
+    return dealt, others.withColumn("salt", F.explode(F.sequence(F.lit(0), splits - 1)))
 
 
 def _pairs(members: DataFrame, others: DataFrame, similarity: int, both: bool = False) -> DataFrame:
     """Distinct pairs a < b of different parts that share a posting list and pass the bounds.
 
     ``both`` says that both sides are the same, so that each pair is made once."""
+    dealt, everywhere = _salted(members, others)
     return (
-        members.alias("m")
-        .join(others.alias("l"), "token")
+        dealt.alias("m")
+        .join(everywhere.alias("l"), ["token", "salt"])
         .filter(F.col("m.part") != F.col("l.part"))
         .filter(_could_link("m", "l", similarity) & (F.lit(not both) | (F.col("m.uid") < F.col("l.uid"))))
         .select(F.least("m.uid", "l.uid").alias("a"), F.greatest("m.uid", "l.uid").alias("b"))
@@ -235,26 +253,32 @@ def _pairs(members: DataFrame, others: DataFrame, similarity: int, both: bool =
 def class_links(
     classes: DataFrame, similarity: int = SIMILARITY, leaders: tuple[int, ...] = LEADERS
 ) -> DataFrame:
-    """Verified links (a, b, shared, union) between classes that connect all that are connected."""
+    """Links (a, b) between classes that connect all that are connected, and no others.
+
+    Each round pairs the classes of a list with some of them, its leaders; lists of no more classes
+    than leaders are done then, and so are lists whose classes are all in one part. Links found are
+    tied to stars between the rounds. What is open after the rounds is paired in full, in splits.
+    """
     likely = classes.filter("shingles IS NOT NULL")
-    postings = store(
-        likely.select(
-            "uid",
-            "n",
-            F.posexplode("order_a").alias("place", "token"),
-            (F.col("n") - F.size("shingles")).alias("alone"),
-        ).select("uid", "n", "token", (F.col("alone") + F.col("place")).cast("long").alias("pos"), F.col("uid").alias("part")),
-        "postings",
-    )
+    postings = likely.select(
+        "uid",
+        "n",
+        F.posexplode("order_a").alias("place", "token"),
+        (F.col("n") - F.size("shingles")).alias("alone"),
+    ).select("uid", "n", "token", (F.col("alone") + F.col("place")).cast("long").alias("pos"), F.col("uid").alias("part"))
+    sizes = postings.groupBy("token").agg(F.count("*").alias("size")).filter("size > 1")
+    postings = store(postings.join(sizes, "token"), "postings")
     links = None
     for k, most in enumerate(leaders):
         rank = F.row_number().over(Window.partitionBy("token").orderBy(F.xxhash64("uid", F.lit(k)), "uid"))
         chosen = postings.withColumn("rank", rank).filter(F.col("rank") <= most).drop("rank")
-        found = store(_verified(_pairs(postings, chosen, similarity), likely, similarity), "links")
-        links = found if links is None else links.unionByName(found)
-        postings = _open_lists(postings, links)
-    rest = _pairs(postings, postings, similarity, both=True)
-    return links.unionByName(store(_verified(rest, likely, similarity), "links"))
+        found = store(_verified(_pairs(postings, chosen, similarity), likely, similarity).select("a", "b"), "links")
+        links = partly_connected(found if links is None else links.unionByName(found))
+        postings = _open_lists(postings, links, most)
+        if postings.isEmpty():
+            return links
+    rest = _verified(_pairs(postings, postings, similarity, both=True), likely, similarity).select("a", "b")
+    return links.unionByName(store(rest, "links"))
 
 
 def near_groups(
@@ -274,7 +298,7 @@ def near_groups(
     links of a document is not given: only a subset that connects each component is verified.
     """
     classes = store(shingle_classes(docs, similarity, width, text, id_column), "classes")
-    groups = connected(store(class_links(classes, similarity), "links"))
+    groups = connected(class_links(classes, similarity))
     members = store(_keyed(docs, text, id_column, False, 1).select("doc_id", "text_hash", "digest"), "members")
     sizes = members.groupBy("digest").agg(F.min("doc_id").alias("least"), F.count("*").alias("class_size"))
     known = (
