@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.frames import BLANKS, store
+from txrisk.llm.frames import BLANKS, left_out, store
 
 WIDTH = 5
 CONTAINMENT = 75
@@ -139,5 +139,5 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, containment: int = CONT
     """``docs`` without the documents that hold a test item; its columns as they are. Items are told
     apart by their words, so those without an id count too."""
     items = benchmark.select(F.xxhash64(tokens("text")).alias("item_id"), "text")
-    found = leaks(docs, items, containment).select(F.col("row_key").alias("_found")).distinct()
-    return docs.join(store(found, "leaked"), F.xxhash64("doc_id", "text") == F.col("_found"), "left_anti")
+    found = leaks(docs, items, containment).select("doc_id", "row_key").distinct()
+    return left_out(docs, store(found, "leaked"), F.col("doc_id"), F.xxhash64("doc_id", "text"))

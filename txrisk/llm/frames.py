@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
@@ -44,6 +44,16 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def left_out(docs: DataFrame, gone: DataFrame, *keys: Column) -> DataFrame:
+    """``docs`` without the rows whose ``keys`` are a row of ``gone``, nulls like values; its columns as they
+    are, whatever their names: each row is carried as one value."""
+    row = F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row")
+    held = docs.select(row, *(k.alias(f"own{i}") for i, k in enumerate(keys)))
+    names = [f"gone{i}" for i in range(len(keys))]
+    same = [F.col(f"own{i}").eqNullSafe(F.col(n)) for i, n in enumerate(names)]
+    return held.join(gone.toDF(*names), same, "left_anti").select(*(F.col(f"row.`{n}`").alias(n) for n in docs.columns))
+
+
 def buckets(spark: SparkSession) -> int:
     """How many chunks and buckets an exchange uses: twice the shuffle partitions."""
     return 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -4,7 +4,8 @@ A suffix automaton of labelled text knows every substring of it. A new text is p
 language's automaton into phrases, each the longest match from where the last one ended. The language
 that needs the fewest phrases, normalised by the logarithm of its training length, wins. Texts are
 parsed in segments of ``SEGMENT`` letters, all segments of a batch in step; a phrase ends with its
-segment, and every segment of the whole text counts.
+segment, and every segment of the whole text counts. A letter that a language does not have opens the
+phrase of the match behind it.
 """
 
 from __future__ import annotations
@@ -176,7 +177,8 @@ def languages(docs: DataFrame, labelled: DataFrame, text: str = "text", id_colum
 
     ``lang_pred`` is a learned language, or ``und`` with score 0 if the text is null, has no letter or
     nothing was learned. The score is the runner-up's share of the two smallest normalised phrase
-    counts, 0.5 to 1; ties go to the first language by name.
+    counts, 0.5 to 1; ties go to the first language by name. Rows that repeat are rows like any other, and
+    an empty table gives none.
     """
     model = docs.sparkSession.sparkContext.broadcast(train(labelled))
 

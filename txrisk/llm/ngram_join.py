@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from txrisk.llm.components import connected, partly_connected
-from txrisk.llm.frames import PACKED, pack, packed_rows, store, unpack
+from txrisk.llm.frames import PACKED, left_out, pack, packed_rows, store, unpack
 from txrisk.llm.words import shingle_sets
 
 WIDTH = 5
@@ -332,6 +332,5 @@ def keep_one(
     """
     groups = near_groups(docs, similarity, text=text, id_column=id_column)
     drop = groups.filter("component_id IS NOT NULL AND NOT (doc_id <=> component_id)")
-    dropped = store(drop.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "dropped")
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    return docs.join(dropped, same, "left_anti")
+    dropped = store(drop.select("doc_id", "text_hash").distinct(), "dropped")
+    return left_out(docs, dropped, F.col(f"`{id_column}`").cast("long"), F.xxhash64(text))

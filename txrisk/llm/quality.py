@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.frames import store
+from txrisk.llm.frames import left_out, store
 
 #: Weight of the pooled variances in a class covariance, and the least variance.
 SHRINKAGE = 0.1
@@ -159,7 +159,7 @@ def quality_scores(
 
     ``labels`` has doc_id and quality; null labels and rows without a document teach nothing, rows
     that repeat an id count each. Null and empty texts have the statistics of the empty text and a
-    score like any other. Language, source and ids never enter a score.
+    score like any other. Language, source and ids never enter a score. An empty table gives no rows.
     """
     found = store(document_statistics(docs, text, id_column), "statistics")
     learned = labels.filter(training_row("doc_id")).select("doc_id", F.col("quality").alias("label"))
@@ -172,8 +172,8 @@ def quality_scores(
 def keep_good(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_column: str = "doc_id"
 ) -> DataFrame:
-    """``docs`` without the rows that the classifier rejects; the columns as they are."""
+    """``docs`` without the rows that the classifier rejects; the columns as they are, whatever their names.
+    Rows of one id and text go or stay together; an empty table gives no rows."""
     found = quality_scores(docs, labels, threshold, text, id_column).filter("predicted = 0")
-    bad = store(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "rejected")
-    same = F.col(f"`{id_column}`").eqNullSafe(F.col("_id")) & (F.xxhash64(text) == F.col("_hash"))
-    return docs.join(bad, same, "left_anti")
+    bad = store(found.select("doc_id", "text_hash").distinct(), "rejected")
+    return left_out(docs, bad, F.col(f"`{id_column}`").cast("long"), F.xxhash64(text))
