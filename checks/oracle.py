@@ -344,6 +344,49 @@ def _links() -> str:
     )
 
 
+def _rules() -> str:
+    """Rules by counting the rows of each set of indicators, one set after another."""
+    mask = " + ".join(f"{1 << k} * {flag}" for k, flag in enumerate(FLAGS))
+    named = ", ".join(f"CASE WHEN m & {1 << k} <> 0 THEN '{n}' END" for k, n in enumerate(NAMES))
+    then = " UNION ALL ".join(f"SELECT '{n}' AS consequent, {1 << k} AS b" for k, n in enumerate(NAMES))
+    ctes = f"""
+masks AS (SELECT {mask} AS mask, is_fraud FROM scored),
+wanted AS (SELECT CAST(m AS INTEGER) AS m FROM unnest(generate_series(0, 511)) AS t(m)),
+counts AS (SELECT m, count(mask) AS n, coalesce(sum(is_fraud), 0) AS fraud
+           FROM wanted LEFT JOIN masks ON mask & m = m GROUP BY m),
+rules AS (
+  SELECT a.m, consequent, c.n AS support, a.n AS own, o.n AS of_all
+  FROM counts a JOIN ({then}) ON a.m & b = 0 JOIN counts c ON c.m = a.m | b JOIN counts o ON o.m = b
+  UNION ALL SELECT a.m, 'fraud', a.fraud, a.n, o.fraud FROM counts a JOIN counts o ON o.m = 0
+)"""
+    return _with(
+        [TX, BEHAVIOUR, STATS, SCORED, ctes],
+        f"""SELECT concat_ws('+', {named}) AS antecedent, consequent, CAST(support AS BIGINT) AS support,
+        own AS antecedent_count, round(support::DOUBLE / own, 4) AS confidence,
+        round((support::DOUBLE / own) / (of_all::DOUBLE / (SELECT n FROM counts WHERE m = 0)), 4) AS lift
+        FROM rules WHERE m > 0 AND support >= 1""",
+    )
+
+
+def _groups() -> str:
+    """Sets of two, three and four users by joining who was where with itself."""
+    met = """
+met AS (SELECT DISTINCT date_trunc('day', "timestamp") AS day, country, device, channel, user_id AS u FROM tx)"""
+
+    def of(n: int) -> str:
+        users = ", ',', ".join(f"m{k}.u" for k in range(n))
+        joins = " ".join(
+            f"JOIN met m{k} ON m{k}.u > m{k - 1}.u AND m{k}.day = m0.day AND m{k}.country = m0.country "
+            f"AND m{k}.device = m0.device AND m{k}.channel = m0.channel"
+            for k in range(1, n)
+        )
+        return f"""SELECT concat({users}) AS users, {n} AS n_users, CAST(count(*) AS INTEGER) AS meetings,
+        CAST(min(m0.day) AS TIMESTAMP) AS first_meeting, CAST(max(m0.day) AS TIMESTAMP) AS last_meeting
+        FROM met m0 {joins} GROUP BY 1 HAVING count(*) >= 10"""
+
+    return _with([TX, met], " UNION ALL ".join(of(n) for n in (2, 3, 4)))
+
+
 def _rejects() -> str:
     zero = [c.strip('"') for c in TX_COLUMNS if c != "dayofweek"]
     return on_postings(
@@ -584,6 +627,9 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
             round(sum(amount), 2) AS total_amount
             FROM scored GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT user_id) >= 2"""
         ),
+        "customer_profile_from_states": on_scored(_PROFILE),
+        "indicator_rules": _rules(),
+        "recurring_groups": _groups(),
         "transaction_report": _transaction_report(),
         "customer_report": _customer_report(),
         "table_links": _links(),

@@ -22,7 +22,7 @@ from txrisk.operators.behaviour import (
 )
 from txrisk.operators.frequency import txn_frequency
 from txrisk.plans import investigate as inv
-from txrisk.plans import report, triage
+from txrisk.plans import patterns, report, states, triage
 from txrisk.plans.scoring import score, stats_struct, with_behaviour
 from txrisk.schema import BEHAVIOUR_COLUMNS, INDICATOR_COLUMNS, TRANSACTION_COLUMNS
 from txrisk.sources.staging import stage
@@ -94,6 +94,23 @@ def _flat_customer_report(scored: DataFrame) -> DataFrame:
     )
 
 
+def _profile_from_states(scored: DataFrame) -> DataFrame:
+    """Profiles from the states of each half of the month, merged; the later values are numbered later."""
+    early = F.dayofmonth("timestamp") <= 15
+    first, then = scored.filter(early), scored.filter(~early)
+    numbers = states.number_values(first)
+    before = states.monthly_states(first, numbers)
+    numbers = states.number_values(then, numbers)
+    merged = states.merge_states(before, states.monthly_states(then, numbers), numbers)
+    return states.profiles(merged, numbers)
+
+
+def _flat_groups(scored: DataFrame) -> DataFrame:
+    """Groups of users that are seen on one device and channel on at least ten days."""
+    found = patterns.recurring_groups(scored, 10, 4, "1 day", ("country", "device", "channel"))
+    return found.withColumn("users", F.concat_ws(",", F.col("users").cast("array<string>")))
+
+
 def _with_copies(typed: DataFrame) -> DataFrame:
     """The typed postings with an exact copy of those of many items."""
     return typed.unionByName(typed.filter("num_items > 25"))
@@ -183,6 +200,9 @@ ON_SCORED: dict[str, FromRows] = {
     "time_anomalies": inv.time_anomalies,
     "risk_comparison": inv.risk_comparison,
     "coordinated_activity": lambda s: inv.coordinated_activity(s, min_users=2),
+    "customer_profile_from_states": _profile_from_states,
+    "indicator_rules": patterns.indicator_rules,
+    "recurring_groups": _flat_groups,
     "transaction_report": _flat_transaction_report,
     "customer_report": _flat_customer_report,
 }

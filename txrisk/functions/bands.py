@@ -39,6 +39,10 @@ def money_total(amount: str = "amount") -> Column:
 
 def money_mean(amount: str = "amount") -> Column:
     """The mean of money, from its total in cents, rounded half up in decimal."""
-    total = money_total(amount).try_cast("decimal(28,2)")
-    count = F.count(amount).cast("decimal(20,0)")
-    return F.round(F.try_divide(total, count), 4).cast("double")
+    return money_cents(money_total(amount), F.count(amount))
+
+
+def money_cents(total: Column, count: Column) -> Column:
+    """A total in cents over a count, rounded half up in decimal."""
+    exact = F.try_divide(total.try_cast("decimal(28,2)"), count.cast("decimal(20,0)"))
+    return F.round(exact, 4).cast("double")
