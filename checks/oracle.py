@@ -344,6 +344,47 @@ def _links() -> str:
     )
 
 
+_ROBUST = _with(
+    [TX],
+    """SELECT transaction_id, user_id, amount, round(med, 6) AS median_amount, round(mad, 6) AS mad_amount,
+    round((amount - med) / (1.4826 * mad), 4) AS robust_z
+    FROM (SELECT *, quantile_cont(abs(amount - med), 0.5) OVER (PARTITION BY user_id) AS mad
+          FROM (SELECT *, quantile_cont(amount, 0.5) OVER (PARTITION BY user_id) AS med FROM tx))
+    WHERE mad > 0 AND abs(round((amount - med) / (1.4826 * mad), 4)) >= 3.5""",
+)
+
+_KEYS_OF = {
+    "number": {
+        "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
+        "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"],
+        "orders": ["o_orderkey", "o_custkey"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    },
+    "text": {
+        "region": ["r_name"], "nation": ["n_name"], "customer": ["c_name", "c_mktsegment"], "supplier": ["s_name"],
+        "part": ["p_name", "p_brand", "p_type"], "orders": ["o_orderstatus", "o_orderpriority"],
+        "lineitem": ["l_returnflag", "l_linestatus"],
+    },
+}
+
+
+def _discovered() -> str:
+    """All pairs of columns, counted one by one."""
+    cells = " UNION ".join(
+        f"SELECT '{kind}' AS kind, '{t}' AS t, '{c}' AS c, CAST({c} AS VARCHAR) AS v FROM {t} WHERE {c} IS NOT NULL"
+        for kind, tables in _KEYS_OF.items()
+        for t, columns in tables.items()
+        for c in columns
+    )
+    return f"""
+WITH cells AS ({cells}),
+many AS (SELECT t, c, count(*) AS n FROM cells GROUP BY ALL HAVING count(*) >= 20),
+used AS (SELECT * FROM cells JOIN many USING (t, c))
+SELECT a.t AS left_table, a.c AS left_column, b.t AS right_table, b.c AS right_column, a.n AS left_values,
+       count(*) AS shared_values, round(count(*)::DOUBLE / a.n, 4) AS containment
+FROM used a JOIN used b ON a.kind = b.kind AND a.v = b.v AND a.t <> b.t
+GROUP BY a.t, a.c, b.t, b.c, a.n HAVING count(*) >= 0.9 * a.n"""
+
+
 def _rules() -> str:
     """Rules by counting the rows of each set of indicators, one set after another."""
     mask = " + ".join(f"{1 << k} * {flag}" for k, flag in enumerate(FLAGS))
@@ -628,6 +669,25 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
             FROM scored GROUP BY 1, 2, 3, 4 HAVING count(DISTINCT user_id) >= 2"""
         ),
         "customer_profile_from_states": on_scored(_PROFILE),
+        "threshold_table": on_scored(
+            """SELECT risk_score, n AS flagged, f AS flagged_fraud, round(f::DOUBLE / n, 4) AS precision,
+            round(f::DOUBLE / all_f, 4) AS recall, round((n - f)::DOUBLE / all_o, 4) AS false_positive_rate
+            FROM (SELECT a.risk_score, count(*) AS n, CAST(sum(b.is_fraud) AS BIGINT) AS f
+                  FROM (SELECT DISTINCT risk_score FROM scored) a JOIN scored b ON b.risk_score >= a.risk_score
+                  GROUP BY 1),
+                 (SELECT sum(is_fraud) AS all_f, sum(1 - is_fraud) AS all_o FROM scored)"""
+        ),
+        "score_auc": on_scored(
+            """SELECT CAST(any_value(p) AS BIGINT) AS fraud, CAST(any_value(n) AS BIGINT) AS other,
+            round((sum(r) FILTER (is_fraud = 1) - any_value(p)::DOUBLE * (any_value(p) + 1) / 2)
+                  / (any_value(p)::DOUBLE * any_value(n)), 6) AS auc
+            FROM (SELECT is_fraud, rank() OVER (ORDER BY risk_score)
+                         + (count(*) OVER (PARTITION BY risk_score) - 1) / 2.0 AS r,
+                         sum(is_fraud) OVER () AS p, sum(1 - is_fraud) OVER () AS n FROM scored)"""
+        ),
+        "discovered_links": _discovered(),
+        "robust_anomalies": _ROBUST,
+        "robust_anomalies_hot_users": _ROBUST,
         "indicator_rules": _rules(),
         "recurring_groups": _groups(),
         "transaction_report": _transaction_report(),

@@ -21,13 +21,16 @@ from txrisk.operators.behaviour import (
     value_frequency,
 )
 from txrisk.operators.frequency import txn_frequency
+from txrisk.operators.robust import robust_anomalies
 from txrisk.plans import investigate as inv
-from txrisk.plans import patterns, report, states, triage
+from txrisk.plans import links, patterns, report, states, triage
 from txrisk.plans.scoring import score, stats_struct, with_behaviour
 from txrisk.schema import BEHAVIOUR_COLUMNS, INDICATOR_COLUMNS, TRANSACTION_COLUMNS
 from txrisk.sources.staging import stage
 from txrisk.spec import SkewPolicy
 
+#: Tables whose columns are searched for links.
+LINKED_TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineitem"]
 EVERY_KEY_HOT = SkewPolicy(min_rows=0)
 
 POSTINGS_SQL = """
@@ -69,6 +72,10 @@ def _table_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     return inv.table_links(tables, ["transaction_id", "user_id", "doc_id"])
 
 
+def _discovered_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.discovered_links({t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in LINKED_TABLES})
+
+
 def _explained(spark: SparkSession, sf_dir: str) -> DataFrame:
     tx = transactions(spark, sf_dir)
     explained = inv.explain(scored(spark, sf_dir), stats_struct(tx, exact=True))
@@ -161,6 +168,10 @@ ON_TRANSACTIONS: dict[str, FromRows] = {
     "unusual_characteristics_hot_users": lambda tx: inv.unusual_characteristics(
         tx, policy=EVERY_KEY_HOT
     ),
+    "robust_anomalies": lambda tx: _rounded(robust_anomalies(tx), 6, "median_amount", "mad_amount"),
+    "robust_anomalies_hot_users": lambda tx: _rounded(
+        robust_anomalies(tx, policy=EVERY_KEY_HOT), 6, "median_amount", "mad_amount"
+    ),
     "amount_anomalies": lambda tx: inv.amount_anomalies(tx, stats_struct(tx, exact=True)),
 }
 
@@ -187,6 +198,8 @@ ON_SCORED: dict[str, FromRows] = {
     "fraud_by_country": lambda s: triage.fraud_by(s, "country"),
     "fraud_by_channel": lambda s: triage.fraud_by(s, "channel"),
     "top100_high_risk": triage.top_cases,
+    "threshold_table": triage.threshold_table,
+    "score_auc": triage.score_auc,
     "results_by_level": inv.results_by_level,
     "customer_profile": inv.customer_profile,
     "customer_timeline": inv.customer_timeline,
@@ -227,6 +240,7 @@ ON_TYPED_POSTINGS: dict[str, FromRows] = {
 # Queries over several tables.
 ON_TABLES: dict[str, FromTables] = {
     "table_links": _table_links,
+    "discovered_links": _discovered_links,
     "explain_transaction": _explained,
 }
 

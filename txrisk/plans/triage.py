@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txrisk.functions.bands import band, level_rank, percent
+from txrisk.functions.bands import band, level_rank, percent, ratio
 from txrisk.schema import CASE_COLUMNS, TOP_RISK_COLUMNS
 from txrisk.spec import TRIAGE_BANDS, Bands
 
@@ -67,6 +67,50 @@ def fraud_rate_by_level(scored: DataFrame) -> DataFrame:
     )
 
 
+def _cuts(scored: DataFrame) -> DataFrame:
+    """Fraud and other rows of each score and of all scores from it on; a row per score, 101 at most.
+    Rows that are not known to be fraud or not are left out."""
+    known = scored.filter(F.col("is_fraud").isNotNull())
+    scores = known.groupBy("risk_score").agg(
+        F.count_if(F.col("is_fraud") == 1).alias("fraud"), F.count_if(F.col("is_fraud") != 1).alias("other")
+    )
+    from_here, every = Window.orderBy(F.desc("risk_score")), Window.partitionBy()
+    return scores.select(
+        "risk_score", "fraud", "other",
+        F.sum("fraud").over(from_here).alias("fraud_from"), F.sum("other").over(from_here).alias("other_from"),
+        F.sum("fraud").over(every).alias("all_fraud"), F.sum("other").over(every).alias("all_other"),
+    )
+
+
+def threshold_table(scored: DataFrame) -> DataFrame:
+    """What flagging all rows of at least a score would do, for every score: how many are flagged, how
+    many of them are fraud, precision, recall and false-positive rate. The rows are read once."""
+    flagged = F.col("fraud_from") + F.col("other_from")
+    return (
+        _cuts(scored)
+        .select(
+            "risk_score",
+            flagged.alias("flagged"),
+            F.col("fraud_from").alias("flagged_fraud"),
+            ratio(F.col("fraud_from"), flagged).alias("precision"),
+            ratio(F.col("fraud_from"), F.col("all_fraud")).alias("recall"),
+            ratio(F.col("other_from"), F.col("all_other")).alias("false_positive_rate"),
+        )
+        .orderBy(F.desc("risk_score"))
+    )
+
+
+def score_auc(scored: DataFrame) -> DataFrame:
+    """The chance that a fraud row scores higher than another one, equal scores counting half; one row,
+    NULL without both kinds."""
+    above = (F.col("fraud_from") - F.col("fraud")) + F.col("fraud") / 2
+    return _cuts(scored).agg(
+        F.coalesce(F.sum("fraud"), F.lit(0)).alias("fraud"),
+        F.coalesce(F.sum("other"), F.lit(0)).alias("other"),
+        ratio(F.sum(F.col("other") * above), F.sum("fraud").cast("double") * F.sum("other"), 6).alias("auc"),
+    )
+
+
 def kpis(scored: DataFrame, high_risk_score: int = 70) -> DataFrame:
     """The headline figures, one row; on an empty table only the count is set."""
     high = F.col("risk_score") >= high_risk_score
