@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import json
 import re
 import time
@@ -110,6 +111,29 @@ def test_chat_round_trip(spark, block):
     assert chat.read_back(chat.format_examples(turns.filter("false"))).count() == 0
 
 
+def test_chat_contexts_are_whole_and_checked(spark):
+    """A conversation of megabytes: each context is all turns before the reply, over many blocks."""
+    say = "so many words and \\ signs " * 40
+    rows = [(1, k, ("user", "assistant")[k % 2], f"{k} {say}") for k in range(3000)] + [(2, 0, "assistant", "first")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    examples = frames.store(chat.format_examples(turns), "test_long_chat")
+    found = {r["conv_id"]: r for r in chat.read_back(examples).collect()}
+    assert (found[1]["n_turns"], found[1]["n_examples"], found[2]["n_turns"]) == (3000, 1500, 1)
+    assert found[1]["n_blocks"] > 20
+    written = [chat.format_turn(r, t) for _, _, r, t in rows[:3000]]
+    whole = "".join(w for w, _, _ in written)
+    digests = {r["example"]: r["context_sha256"] for r in examples.filter("conv_id = 1 AND kind = 'example'").collect()}
+    for k in (0, 1, 70, 1499):
+        turn = 2 * k + 1
+        upto = sum(len(w) for w, _, _ in written[:turn]) + written[turn][1]
+        assert digests[k] == sha(whole[:upto])
+    lost = examples.filter("NOT (kind = 'block' AND blocks = 3)")
+    changed = examples.withColumn("text", F.when(F.expr("kind = 'block' AND blocks = 3"), F.lit("")).otherwise(F.col("text")))
+    for broken in (lost, changed):
+        with pytest.raises(Exception, match="blocks are there|not whole"):
+            chat.read_back(broken).collect()
+
+
 def test_secret_layers(spark):
     key = "AKIA" + "ABCDEFGH12345678"
     packed = base64.b64encode(zlib.compress(f"password={'q' * 12} {key}".encode())).decode()
@@ -266,6 +290,16 @@ def test_archives(spark, compression):
     assert not [p for p in Path(path).iterdir() if p.name.startswith("_temporary")]
 
 
+def test_headers_of_archives_are_read_in_any_case():
+    head = b"warc-type: response\r\nWARC-RECORD-ID: <a>\r\nx-Own: one\r\n  and two\r\n"
+    data = b"WARC/1.0\r\n" + head + b"content-LENGTH: 3\r\n\r\nabc\r\n\r\nWARC/1.1\r\nContent-Length: 0\r\n\r\n\r\n\r\n"
+    first, second = warc.records(io.BytesIO(data), lambda h: True)
+    want = {"WARC-Type": "response", "WARC-Record-ID": "<a>", "x-Own": "one and two", "Content-Length": "3"}
+    assert first == (want, b"abc") and second == ({"Content-Length": "0"}, b"")
+    with pytest.raises(ValueError, match="no length"):
+        list(warc.records(io.BytesIO(b"WARC/1.0\r\nWARC-Type: response\r\n\r\n"), lambda h: True))
+
+
 def test_pipeline_stages(spark):
     sf = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf}/documents.parquet")

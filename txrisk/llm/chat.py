@@ -9,6 +9,10 @@ A conversation is formatted as a stream of its turns. Context of more than ``BLO
 is put away in blocks that all later examples of the conversation share, so that a long conversation
 takes linear space and a task holds one block of it at a time. Shorter conversations, which are nearly
 all, have no blocks: the text of each example is complete.
+
+Each example has the digest of its whole context, from the first turn to where its reply begins. Reading
+back takes the digest of the blocks and the text again, so a context that is not just all the turns
+before the reply is an error, however long it is.
 """
 
 from __future__ import annotations
@@ -27,7 +31,7 @@ TRAINED = "assistant"
 
 EXAMPLES = (
     "conv_id long, seq long, kind string, example long, blocks long, turns long, "
-    "text string, loss_start long, loss_end long"
+    "text string, loss_start long, loss_end long, context_sha256 string"
 )
 READ_BACK = (
     "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, "
@@ -39,6 +43,10 @@ _ESCAPED = re.compile(r"\\(\\|### |</turn>|n)")
 _TURN = re.compile(r"### (.*):\n((?:[^\\]|\\[\s\S])*?)\n</turn>\n")
 
 
+def _utf8(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass")
+
+
 def escape(text: str) -> str:
     return _MARKS.sub(lambda m: "\\" + m.group(), text)
 
@@ -71,26 +79,31 @@ def _examples(turns: Iterable[tuple], block_chars: int) -> Iterator[tuple]:
     seq = example = blocks = count = 0
     parts: list[str] = []
     size = waiting = 0
+    context = hashlib.sha256()  # of all turns written so far
 
     def last() -> Iterator[tuple]:
         if waiting:
-            yield conv, seq, "example", example, blocks, count, "".join(parts), size, size
+            yield conv, seq, "example", example, blocks, count, "".join(parts), size, size, context.hexdigest()
 
     for conv_id, role, text in turns:
         if not began or conv_id != conv:
             yield from last()
             conv, began = conv_id, True
             seq = example = blocks = count = size = waiting = 0
-            parts = []
+            parts, context = [], hashlib.sha256()
         written, start, end = format_turn(role, text)
         parts.append(written)
+        before = context.copy()
+        context.update(_utf8(written))
         count, waiting = count + 1, waiting + 1
         if role == TRAINED:
-            yield conv, seq, "example", example, blocks, count, "".join(parts), size + start, size + end
+            before.update(_utf8(written[:start]))
+            whole = "".join(parts)
+            yield conv, seq, "example", example, blocks, count, whole, size + start, size + end, before.hexdigest()
             seq, example, waiting = seq + 1, example + 1, 0
         size += len(written)
         if size > block_chars:
-            yield conv, seq, "block", None, blocks, count, "".join(parts), None, None
+            yield conv, seq, "block", None, blocks, count, "".join(parts), None, None, None
             seq, blocks, count, size, waiting, parts = seq + 1, blocks + 1, 0, 0, 0, []
     if began:
         yield from last()
@@ -165,19 +178,27 @@ class _Reader:
         self.turns, self.loss = hashlib.sha256(), hashlib.sha256()
         self.n_turns = self.loss_chars = self.examples = self.blocks = self.chars = self.block_chars = 0
         self.pending: tuple[int, str] | None = None
+        self.context = hashlib.sha256()  # of the blocks
 
     def _turns(self, text: str) -> None:
         for role, said in read_turns(text):
             self.turns.update(f"{role}\n{said}\n".encode("utf-8", "surrogatepass"))
             self.n_turns += 1
 
-    def take(self, kind: str, blocks: int, text: str, start: int, end: int) -> None:
+    def take(self, kind: str, blocks: int, text: str, start: int, end: int, digest: str) -> None:
+        if blocks != self.blocks:
+            raise ValueError(f"conversation {self.conv_id}: {self.blocks} of {blocks} blocks are there")
         if kind == "block":
+            self.context.update(_utf8(text))
             self._turns(text)
             self.blocks += 1
             self.block_chars += len(text)
             self.pending = None
             return
+        context = self.context.copy()
+        context.update(_utf8(text[:start]))
+        if context.hexdigest() != digest:
+            raise ValueError(f"conversation {self.conv_id}: the context of example {self.examples} is not whole")
         said = unescape(text[start:end])
         self.loss.update(said.encode("utf-8", "surrogatepass"))
         self.loss_chars += len(said)
@@ -203,14 +224,15 @@ class _Reader:
 def read_back(examples: DataFrame) -> DataFrame:
     """Per conversation, read from the formatted rows: its turns, their digest, and what is under the mask.
 
-    ``formatted_chars`` counts the characters of all its examples, shared blocks in each.
+    ``formatted_chars`` counts the characters of all its examples, shared blocks in each. A missing block,
+    and a context that is not what it was when the example was written, is an error.
     """
     schema = _arrow(READ_BACK)
 
     def rows(batches):
         reader = None
         for b in batches:
-            for conv, *row in zip(*(b.column(k).to_pylist() for k in (0, 2, 4, 6, 7, 8)), strict=True):
+            for conv, *row in zip(*(b.column(k).to_pylist() for k in (0, 2, 4, 6, 7, 8, 9)), strict=True):
                 if reader is None or reader.conv_id != conv:
                     if reader:
                         yield reader.row()

@@ -16,6 +16,8 @@ from txrisk.llm.frames import BLANKS, store
 
 #: The most digests that are broadcast, and the items that a summary tracks.
 HEAVY = 1000
+#: Groups of tasks whose sketches are merged side by side before the last merge.
+MERGE_GROUPS = 64
 TRACKED = 16384
 
 
@@ -30,7 +32,12 @@ def digest(text: str = "text") -> Column:
 
 def heavy_digests(digests: DataFrame, heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """``digest`` of the rows that may be the most frequent; at most ``heavy`` rows."""
-    top = digests.agg(F.expr(f"approx_top_k(digest, {int(heavy)}, {int(tracked)})").alias("top"))
+    # A sketch for each task, one for each group of tasks from these, and one of all from those.
+    group = (F.spark_partition_id() % MERGE_GROUPS).alias("tasks")
+    sketch, both = f"approx_top_k_accumulate(digest, {int(tracked)})", f"approx_top_k_combine(sketch, {int(tracked)})"
+    some = digests.groupBy(group).agg(F.expr(sketch).alias("sketch"))
+    merged = some.groupBy(F.lit("all")).agg(F.expr(both).alias("sketch"))  # no row of an empty table
+    top = merged.select(F.expr(f"approx_top_k_estimate(sketch, {int(heavy)})").alias("top"))
     return top.select(F.explode("top").alias("top")).filter("top.count > 1").select(F.col("top.item").alias("digest"))
 
 

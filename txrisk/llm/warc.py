@@ -46,6 +46,8 @@ HEADERS = {
     "payload_digest": "WARC-Payload-Digest",
     "refers_to": "WARC-Refers-To",
 }
+#: Names of headers are read in any case; these are given out as written here, others as in the archive.
+NAMES = {n.lower(): n for n in (*HEADERS.values(), "Content-Length", "Content-Type", "WARC-Profile")}
 VERSION = "WARC/1.1"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 FILE_BYTES = 128 << 20
@@ -110,6 +112,22 @@ class WarcReader(DataSourceReader):
         yield _batch(held)
 
 
+def read_headers(stream) -> dict[str, str]:
+    """The header lines up to the blank one; a line that begins with a blank goes on with the one before.
+    Of headers that repeat, the last counts."""
+    headers: dict[str, str] = {}
+    name = None
+    while (line := stream.readline()).strip():
+        text = line.decode("utf-8", "replace")
+        if text[0] in " \t" and name:
+            headers[name] += " " + text.strip()
+            continue
+        name, _, value = text.partition(":")
+        name = NAMES.get(name.strip().lower(), name.strip())
+        headers[name] = value.strip()
+    return headers
+
+
 def records(stream, wanted, with_payload: bool = True) -> Iterator[tuple[dict[str, str], bytes | None]]:
     """(headers, payload) of the wanted records of an open archive; headers keep their order."""
     while line := stream.readline():
@@ -117,10 +135,9 @@ def records(stream, wanted, with_payload: bool = True) -> Iterator[tuple[dict[st
             continue
         if not line.startswith(b"WARC/"):
             raise ValueError(f"no record at {line[:40]!r}")
-        headers: dict[str, str] = {}
-        while (line := stream.readline()).strip():
-            name, _, value = line.decode("utf-8", "replace").partition(":")
-            headers[name.strip()] = value.strip()
+        headers = read_headers(stream)
+        if not headers.get("Content-Length", "").isdecimal():
+            raise ValueError(f"record {headers.get('WARC-Record-ID')} has no length")
         length = int(headers["Content-Length"])
         if not with_payload or not wanted(headers):
             stream.seek(length, io.SEEK_CUR)
