@@ -472,6 +472,16 @@ UNION ALL SELECT 'open quote', concat(front, '"', country) FROM p WHERE fault =
 UNION ALL SELECT 'open quote', concat('x"', rear, fraud) FROM p WHERE fault = 4
 UNION ALL SELECT 'stray quote', concat(front, country, '"b"', rear, fraud) FROM p WHERE fault = 5"""
 
+def _column_facts() -> str:
+    kinds = dict.fromkeys(("transaction_id", "user_id"), "bigint") | dict.fromkeys(("country", "device", "channel"), "string")
+    columns = [c for c in TX_COLUMNS if c not in ('"timestamp"', "amount")]
+    return " UNION ALL ".join(
+        f"""SELECT {i} AS position, '{c.strip('"')}' AS "column", '{kinds.get(c, "int")}' AS type,
+        count({c}) AS value_count, CAST(min({c}) AS VARCHAR) AS smallest, CAST(max({c}) AS VARCHAR) AS largest FROM kept"""
+        for i, c in enumerate(columns)
+    )
+
+
 _KEPT = f"""SELECT {_cols(TX_COLUMNS)} FROM postings QUALIFY row_number() OVER
             (PARTITION BY transaction_id ORDER BY {_POSTING_ORDER}) = 1"""
 _REMOVED = f"""
@@ -724,6 +734,16 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
         "stored_rejects": on_postings(_REMOVED),
         "stored_reject_counts": _rejects(),
         "stored_scored": _ALL_SCORED,
+        "table_sizes": _with(
+            [POSTINGS, f"kept AS ({_KEPT})", f"gone AS ({_REMOVED})"],
+            """SELECT 'payments' AS table_name, count(*) AS row_count, 12 AS column_count FROM kept
+            UNION ALL SELECT 'payments_rejects', count(*), 14 FROM gone
+            UNION ALL SELECT 'payments_reject_counts', 12, 2""",
+        ),
+        "column_facts": _with([POSTINGS, f"kept AS ({_KEPT})"], _column_facts()),
+        "dictionary_rows": """SELECT CAST(p_partkey AS INTEGER) AS "column",
+            concat(p_name, ', ', p_type) AS description FROM part""",
+        "staged_transactions": on_tx(f"SELECT {_cols(TX_COLUMNS)} FROM tx"),
         "timeline_of_users": f"SELECT * FROM ({_TIMELINE}) WHERE user_id IN {_NAMED}",
         "profile_of_users": f"SELECT * FROM ({on_scored(_PROFILE)}) WHERE user_id IN {_NAMED}",
         "worst_of_users": f"SELECT * FROM ({on_scored(_WORST)}) WHERE user_id IN {_NAMED}",

@@ -16,9 +16,9 @@ from txrisk.plans.tables import build_scored, build_transactions
 from txrisk.schema import TRANSACTION_COLUMNS
 from txrisk.sources.clustered import write_clustered
 from txrisk.sources.lines import read_lines, rejected_lines, sound_rows
-from txrisk.sources.readers import read_transactions
-from txrisk.sources.staging import new_path, shared_folder
-from txrisk.sources.tables import list_tables, replace_table, schema_listing
+from txrisk.sources.readers import read_dictionary, read_transactions
+from txrisk.sources.staging import new_path, shared_folder, stage
+from txrisk.sources.tables import column_facts, list_tables, replace_table, schema_listing, table_sizes
 
 _csv: dict[tuple[str, ...], str] = {}
 _databases: dict[tuple[str, str, str], str] = {}
@@ -156,6 +156,31 @@ def table_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return list_tables(spark, database(spark, sf_dir, "payments")).selectExpr("tableName AS table_name")
 
 
+def table_sizes_of_payments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table_sizes(spark, database(spark, sf_dir, "payments"))
+
+
+def column_facts_of_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = stored_transactions(spark, sf_dir).drop("timestamp", "amount")
+    return column_facts(whole)
+
+
+def dictionary_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names and types of parts as a dictionary file, read again."""
+    key = (*_key(spark, sf_dir), "dictionary")
+    if key not in _csv:
+        parts = spark.read.parquet(f"{sf_dir}/part.parquet")
+        path = new_path(spark, "dictionary")
+        names = F.col("p_partkey").alias("column"), F.concat_ws(", ", "p_name", "p_type").alias("description")
+        parts.select(*names).write.csv(path, header=True)
+        _csv[key] = path
+    return read_dictionary(spark, _csv[key])
+
+
+def staged_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stage(transactions(spark, sf_dir), "transactions")
+
+
 STORED = {
     "csv_transactions": csv_transactions,
     "csv_sound_transactions": csv_sound_transactions,
@@ -168,6 +193,10 @@ STORED = {
     "profile_of_users": profile_of_users,
     "worst_of_users": worst_of_users,
     "rescored_after_append": rescored_after_append,
+    "table_sizes": table_sizes_of_payments,
+    "column_facts": column_facts_of_stored,
+    "dictionary_rows": dictionary_rows,
+    "staged_transactions": staged_transactions,
     "schema_listing": schema_of_stored,
     "table_listing": table_listing,
 }

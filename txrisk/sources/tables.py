@@ -58,6 +58,43 @@ def list_tables(spark: SparkSession, database: str = "default") -> DataFrame:
     return spark.sql(f"SHOW TABLES IN {database}")
 
 
+def table_sizes(spark: SparkSession, database: str = "default") -> DataFrame:
+    """One row per table of a database: its name, rows and columns. Rows are counted, from the footers
+    of Parquet files where there are no other conditions."""
+    names = [r["tableName"] for r in list_tables(spark, database).collect() if not r["isTemporary"]]
+    if not names:
+        return spark.createDataFrame([], "table_name string, row_count long, column_count int")
+    parts = []
+    for name in names:
+        df = spark.table(f"{database}.{name}")
+        parts.append(
+            df.agg(F.count("*").alias("row_count")).select(
+                F.lit(name).alias("table_name"), "row_count", F.lit(len(df.columns)).alias("column_count")
+            )
+        )
+    sizes = parts[0]
+    for part in parts[1:]:
+        sizes = sizes.unionByName(part)
+    return sizes
+
+
+def column_facts(df: DataFrame) -> DataFrame:
+    """One row per column of ``df``: position, name, type, how many values it has and their smallest and
+    largest as text (by the column's own order); one pass, with partial aggregates only."""
+    facts = [
+        F.struct(
+            F.lit(i).alias("position"),
+            F.lit(f.name).alias("column"),
+            F.lit(f.dataType.simpleString()).alias("type"),
+            F.count(F.col(f"`{f.name}`")).alias("value_count"),
+            F.min(F.col(f"`{f.name}`")).cast("string").alias("smallest"),
+            F.max(F.col(f"`{f.name}`")).cast("string").alias("largest"),
+        )
+        for i, f in enumerate(df.schema.fields)
+    ]
+    return df.agg(F.array(*facts).alias("facts")).select(F.inline("facts"))
+
+
 def schema_listing(df: DataFrame) -> DataFrame:
     """One row per column of ``df``; reads no data."""
     fields = [
