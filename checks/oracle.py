@@ -353,6 +353,26 @@ _ROBUST = _with(
     WHERE mad > 0 AND abs(round((amount - med) / (1.4826 * mad), 4)) >= 3.5""",
 )
 
+# The sums of drift, day after day.
+_DRIFT = (
+    "WITH RECURSIVE "
+    + TX
+    + """,
+daily AS (SELECT user_id, CAST("timestamp" AS DATE) AS day, round(sum(amount), 2) AS total FROM tx GROUP BY ALL),
+usual AS (SELECT user_id, avg(total) AS mean, stddev_samp(total) AS sd FROM daily GROUP BY user_id),
+steps AS (
+  SELECT user_id, day, total, (total - mean) / sd AS z, row_number() OVER (PARTITION BY user_id ORDER BY day) AS k
+  FROM daily JOIN usual USING (user_id) WHERE sd > 0
+), drift AS (
+  SELECT user_id, day, total, k, greatest(0, z - 0.5) AS up, greatest(0, -z - 0.5) AS down FROM steps WHERE k = 1
+  UNION ALL
+  SELECT s.user_id, s.day, s.total, s.k, greatest(0, d.up + s.z - 0.5), greatest(0, d.down - s.z - 0.5)
+  FROM drift d JOIN steps s ON s.user_id = d.user_id AND s.k = d.k + 1
+)
+SELECT user_id, day, total AS total_amount, round(up, 4) AS drift_up, round(down, 4) AS drift_down
+FROM drift WHERE round(up, 4) >= 4 OR round(down, 4) >= 4"""
+)
+
 _KEYS_OF = {
     "number": {
         "region": ["r_regionkey"], "nation": ["n_nationkey", "n_regionkey"], "customer": ["c_custkey", "c_nationkey"],
@@ -696,6 +716,7 @@ WHERE count_ratio >= 2 OR amount_ratio >= 2"""
                          sum(is_fraud) OVER () AS p, sum(1 - is_fraud) OVER () AS n FROM scored)"""
         ),
         "discovered_links": _discovered(),
+        "behaviour_drift": _DRIFT,
         "robust_anomalies": _ROBUST,
         "robust_anomalies_hot_users": _ROBUST,
         "indicator_rules": _rules(),

@@ -158,6 +158,7 @@ ON_TRANSACTIONS: dict[str, FromRows] = {
     "amount_histogram": inv.amount_histogram,
     "txn_by_country": inv.counts_by,
     "behaviour_change": inv.behaviour_change,
+    "behaviour_drift": patterns.behaviour_drift,
     "multi_country_users": lambda tx: inv.users_with_many(tx, "country"),
     "multi_device_users": lambda tx: inv.users_with_many(tx, "device"),
     "countries_of_users": lambda tx: inv.values_of_users(tx, "country"),

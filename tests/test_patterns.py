@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 from pyspark.sql import functions as F
 
-from tests.frames import frame, row, same_rows
+from tests.frames import START, frame, row, same_rows
 from txrisk.plans import investigate, patterns, states
 from txrisk.plans.scoring import score
 from txrisk.schema import INDICATOR_COLUMNS, INDICATORS
@@ -120,3 +120,24 @@ def test_a_slot_where_everyone_is_makes_no_pairs(spark, monkeypatch):
     assert patterns.recurring_groups(frame(spark, *rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
         patterns.recurring_groups(frame(spark, *rows), 0)
+
+
+def test_drift_is_the_sum_of_what_days_are_above(spark):
+    """User 1 rises slowly at the end, user 2 falls, user 3 is always the same, user 4 has one day."""
+    amounts = {1: [10, 12, 11, 9, 10, 13, 10, 11, 16, 17, 18, 17, 18], 2: [30, 31, 29, 30, 30, 20, 19, 18, 20], 3: [5] * 6, 4: [7]}
+    rows = [row(100 * u + k, user=u, when=86_400.0 * k, amount=float(a)) for u, own in amounts.items() for k, a in enumerate(own)]
+    rows += [row(900, user=None), row(901, user=1, when=None), row(902, user=1, amount=None)]
+    want = set()
+    for u, own in amounts.items():
+        mean = sum(own) / len(own)
+        sd = (sum((a - mean) ** 2 for a in own) / max(1, len(own) - 1)) ** 0.5
+        up = down = 0.0
+        for k, a in enumerate(own):
+            if sd:
+                up, down = max(0.0, up + (a - mean) / sd - 0.5), max(0.0, down - (a - mean) / sd - 0.5)
+                if max(up, down) >= 1.5:
+                    want.add((u, k, round(up, 4), round(down, 4)))
+    found = patterns.behaviour_drift(frame(spark, *rows), limit=1.5).collect()
+    assert {(r["user_id"], (r["day"] - START.date()).days, r["drift_up"], r["drift_down"]) for r in found} == want
+    assert {u for u, *_ in want} == {1, 2}
+    assert patterns.behaviour_drift(frame(spark, *rows).limit(0)).count() == 0

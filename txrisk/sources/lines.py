@@ -29,14 +29,26 @@ def _judged(line: Column, expected: int, escape: str) -> Column:
     if escape != '"':
         bare = F.regexp_replace(bare, "\\" + escape + ".", "")
     bare = F.regexp_replace(bare, '"[^"]*+"', _QUOTED)
-    fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
-    mixed = bare.rlike(f"[^,{_QUOTED}]{_QUOTED}|{_QUOTED}[^,{_QUOTED}]")
-    return (
-        F.when(F.contains(bare, F.lit('"')), OPEN_QUOTE)
-        .when(mixed, STRAY_QUOTE)
-        .when(fields > expected, SURPLUS)
-        .when(fields < expected, MISSING)
-    )
+
+    def reason(bare: Column) -> Column:
+        fields = F.length(bare) - F.length(F.replace(bare, F.lit(","), F.lit(""))) + 1
+        mixed = bare.rlike(f"[^,{_QUOTED}]{_QUOTED}|{_QUOTED}[^,{_QUOTED}]")
+        return (
+            F.when(F.contains(bare, F.lit('"')), OPEN_QUOTE)
+            .when(mixed, STRAY_QUOTE)
+            .when(fields > expected, SURPLUS)
+            .when(fields < expected, MISSING)
+        )
+
+    # As the one element of an array what is left of the line is worked out once, not for every test.
+    return F.get(F.transform(F.array(bare), reason), F.lit(0))
+
+
+def _headers(names: list[str], escape: str) -> list[str]:
+    """How the header line may be written: without quotes, with quotes where needed, all in quotes."""
+    quoted = ['"' + n.replace('"', escape + '"') + '"' for n in names]
+    needed = [q if any(c in n for c in ',"') else n for n, q in zip(names, quoted, strict=True)]
+    return sorted({",".join(x) for x in (names, quoted, needed)})
 
 
 def header_of(spark: SparkSession, path: str, escape: str = "\\") -> list[str]:
@@ -68,13 +80,13 @@ def read_lines(
         text = spark.read.text(path).select(
             F.regexp_replace("value", "^﻿|\r$", "").alias(LINE), F.col("_metadata.file_path").alias(FILE)
         )
-        text = text.filter(F.trim(LINE) != "").withColumn(_JUDGED, _judged(F.col(LINE), len(names), escape))
+        text = text.filter((F.trim(LINE) != "") & ~F.col(LINE).isin(_headers(names, escape)))
+        text = text.withColumn(_JUDGED, _judged(F.col(LINE), len(names), escape))
         # Only sound lines are taken apart: the parser fails on one with very many fields.
         fields = F.from_csv(F.when(F.col(_JUDGED).isNull(), F.col(LINE)), types, options)
         parsed = text.select(fields.alias(_FIELDS), LINE, FILE, _JUDGED)
         reason = F.coalesce(_JUDGED, F.when(parsed[_FIELDS][_CORRUPT].isNotNull(), UNREADABLE))
-    is_header = F.coalesce(F.concat_ws("\u0001", *[F.col(_FIELDS)[n] for n in names]) == "\u0001".join(names), F.lit(False))
-    judged = parsed.filter(~is_header).withColumn(REASON, reason)
+    judged = parsed.withColumn(REASON, reason)
     sound = F.col(REASON).isNull()
     values = [F.when(sound, F.col(_FIELDS)[n]).alias(n) for n in names]
     return judged.select(*values, LINE, FILE, REASON)
