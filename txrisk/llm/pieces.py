@@ -8,7 +8,8 @@ one that is compatible with the last token of the prefix before it is stored. Th
 backwards from the end of the text. Pairs are tested by merging their characters, once per pair.
 
 No piece of a usual model goes from another character to a blank, so a text is cut before its blanks, and
-a task works out each distinct word once, as long as a bounded number of words is remembered.
+around characters that no piece joins with others, such as line feeds and digits. A task works out each
+distinct word once, as long as a bounded number of words is remembered.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 
 from txrisk.llm.piece_model import BLANK, BYTE, CONTROL, UNKNOWN, PieceModel, read_model
 
-WORD = re.compile(r" *[^ ]+| +")
 #: Characters of a text that are worked on at once.
 SEGMENT = 1 << 20
 #: Words, and pairs of tokens, that a task remembers.
@@ -67,6 +67,11 @@ class Encoder:
         for piece, token in model.ids.items():
             self.automaton.add_word(piece, (token, len(piece)))
         self.automaton.make_automaton()
+        # No merge takes in a character that is in no piece of several; such ones are words of their own.
+        joined = set("".join(p for p in model.ids if len(p) > 1))
+        alone = [c for c in map(chr, range(128)) if c not in joined and (c in model.ids or model.byte_ids)]
+        apart = re.escape("".join(c for c in alone if c != " "))
+        self.find = re.compile(f" *[^ {apart}]+| +|[{apart}]" if apart else " *[^ ]+| +").findall
         self.whole_texts = any(re.search(f"[^{BLANK}]{BLANK}", p) for p in model.ids)
 
     def _best(self, symbols: list[str]) -> int | None:
@@ -187,7 +192,7 @@ class Encoder:
         at, known, word = 0, self.words.get, self.word
         while at < len(text):
             end = _cut(text, at + SEGMENT)
-            yield list(chain.from_iterable([known(w) or word(w) for w in WORD.findall(text, at, end)]))
+            yield list(chain.from_iterable([known(w) or word(w) for w in self.find(text, at, end)]))
             at = end
 
 
@@ -216,6 +221,8 @@ class Decoder:
             i for i, p in enumerate(model.pieces) if model.dummy_prefix and p.startswith(BLANK)
         }
         self.bytes = {i: int(p[3:5], 16) for i, (p, k) in enumerate(zip(model.pieces, model.kinds)) if k == BYTE}
+        for i in [i for i, b in self.bytes.items() if b < 128]:  # a character of its own, wherever it is
+            self.surface[i] = chr(self.bytes.pop(i))
         self.byte_ids = frozenset(self.bytes)
         self.silent = {i for i, k in enumerate(model.kinds) if k == CONTROL}
 
