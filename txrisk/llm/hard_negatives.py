@@ -33,6 +33,8 @@ POSITIVES = NEGATIVES = 5
 LOWEST, HIGHEST = 80, 100
 #: Rows of a block of candidates, of a group of anchors, and blocks that one task holds on average.
 BLOCK_ROWS, GROUP_ROWS, BLOCKS_AT_ONCE = 4096, 2048, 8
+#: Groups with their blocks that one task works on, one after another, where there are very many.
+GRIDS_AT_ONCE = 4
 #: Depth of the first read of the lists; it doubles from read to read.
 FIRST_DEPTH = 32
 
@@ -230,8 +232,10 @@ def search(blocks: DataFrame, anchors: DataFrame, most: int, own_label: bool) ->
     def dealt(n: int) -> Column:
         return F.pmod(F.xxhash64("pack"), F.lit(n)).cast("int")
 
-    sent = blocks.withColumn("slot", dealt(slots)).withColumn("part", every(parts))
-    asked = groups.withColumn("part", dealt(parts)).withColumn("slot", every(slots))
+    # The work grows with pairs, not bytes, so the number of tasks is set and not left to the bytes.
+    number, at = max(tasks, parts * slots // GRIDS_AT_ONCE), ["part", "slot"]
+    sent = blocks.withColumn("slot", dealt(slots)).withColumn("part", every(parts)).repartition(number, *at)
+    asked = groups.withColumn("part", dealt(parts)).withColumn("slot", every(slots)).repartition(number, *at)
     names = [x.split()[0] for x in FOUND.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
 
