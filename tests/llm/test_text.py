@@ -67,6 +67,24 @@ def test_language_parse_is_the_longest_match():
     import numpy as np
 
     assert language.phrases(np.array(own), np.array([len(own)]), table).tolist() == [count]
+    sparse = language.automaton(codes, len(alphabet) + 1, dense=0)
+    assert sparse.table is None
+    assert language.phrases(np.array(own), np.array([len(own)]), sparse).tolist() == [count]
+
+
+def test_languages_of_thousands_of_letters():
+    """Transitions of large alphabets are kept sparse, and say the same."""
+    import numpy as np
+
+    codes = [(k * 7919 + k * k) % 4000 for k in range(20_000)]
+    known = language.automaton(codes, 4001)
+    assert known.table is None and known.keys.nbytes + known.states.nbytes < 2 << 20
+    trial = np.array(codes[500:900] + [4000] + codes[30:90])
+    small = language.automaton(codes[:2000], 4001, dense=1 << 30)
+    same = language.automaton(codes[:2000], 4001, dense=0)
+    sizes = np.array([len(trial)])
+    assert language.phrases(trial, sizes, small).tolist() == language.phrases(trial, sizes, same).tolist()
+    assert language.phrases(trial, sizes, known).sum() <= 4
 
 
 def test_language_edges(spark):

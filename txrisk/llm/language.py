@@ -10,6 +10,8 @@ phrase of the match behind it.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,6 +27,8 @@ TOTAL_CHARS = 240_000
 #: Rows with so many characters are taken first, so that one long text is not the whole sample.
 GOOD_LENGTH = (200, 5000)
 SEGMENT = 512
+#: The most entries of a table of transitions.
+DENSE = 16 << 20
 #: About so many letters are parsed in step.
 LETTERS_AT_ONCE = 4_000_000
 UNKNOWN = "und"
@@ -48,36 +52,66 @@ def code_points(text: str) -> np.ndarray:
     return np.where(letter, points, 32)[letter | before]
 
 
-def automaton(codes: list[int], symbols: int) -> np.ndarray:
-    """Transitions of the suffix automaton: state * symbols + symbol to state, 0 if there is none."""
+@dataclass(frozen=True)
+class Transitions:
+    """The transitions of an automaton: for each (state, symbol) the next state, 0 if there is none.
+
+    With few symbols they are a table; else, as for languages with thousands of letters, the sorted
+    numbers ``state * symbols + symbol`` of those there are, and their states. ``root`` is state 0's row.
+    """
+
+    symbols: int
+    root: np.ndarray
+    table: np.ndarray | None
+    keys: np.ndarray | None = None
+    states: np.ndarray | None = None
+
+    def next(self, state: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        key = state * self.symbols + symbol
+        if self.table is not None:
+            return self.table[key]
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.states[at], 0)
+
+
+def automaton(codes: list[int], symbols: int, dense: int | None = None) -> Transitions:
+    """The suffix automaton of a text; as a table if that has at most ``dense`` entries."""
     size = 2 * len(codes) + 2
-    go = np.zeros((size, symbols), np.int32)
+    go: list[dict[int, int]] = [{} for _ in range(size)]
     link, length = [-1] + [0] * (size - 1), [0] * size
-    rows, last, states = go, 0, 1
+    last, states = 0, 1
     for c in codes:
         new, states = states, states + 1
         length[new] = length[last] + 1
         p = last
-        while p != -1 and not rows[p, c]:
-            rows[p, c] = new
+        while p != -1 and c not in go[p]:
+            go[p][c] = new
             p = link[p]
         if p == -1:
             link[new] = 0
         else:
-            q = int(rows[p, c])
+            q = go[p][c]
             if length[p] + 1 == length[q]:
                 link[new] = q
             else:
                 clone, states = states, states + 1
                 length[clone] = length[p] + 1
-                rows[clone] = rows[q]
+                go[clone] = dict(go[q])
                 link[clone] = link[q]
-                while p != -1 and rows[p, c] == q:
-                    rows[p, c] = clone
+                while p != -1 and go[p].get(c) == q:
+                    go[p][c] = clone
                     p = link[p]
                 link[q] = link[new] = clone
         last = new
-    return np.ascontiguousarray(go[:states])
+    keys = np.array([s * symbols + c for s in range(states) for c in sorted(go[s])], np.int64)
+    to = np.array([go[s][c] for s in range(states) for c in sorted(go[s])], np.int32)
+    root = np.zeros(symbols, np.int64)
+    root[list(go[0])] = list(go[0].values())
+    if states * symbols > (DENSE if dense is None else dense) and len(keys):
+        return Transitions(symbols, root, None, keys, to)
+    table = np.zeros(states * symbols, np.int32)
+    table[keys] = to
+    return Transitions(symbols, root, table)
 
 
 def train(docs: DataFrame) -> dict | None:
@@ -123,9 +157,8 @@ def train(docs: DataFrame) -> dict | None:
     return {"langs": list(points), "alphabet": alphabet, "tables": tables, "sizes": [len(p) for p in points.values()]}
 
 
-def phrases(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarray:
+def phrases(codes: np.ndarray, sizes: np.ndarray, known: Transitions) -> np.ndarray:
     """Phrases of each text (``sizes`` codes each, one after another) against an automaton."""
-    symbols, flat = table.shape[1], table.ravel()
     ends = np.cumsum(sizes)
     pieces = -(-sizes // SEGMENT)
     owner = np.repeat(np.arange(len(sizes)), pieces)
@@ -137,15 +170,14 @@ def phrases(codes: np.ndarray, sizes: np.ndarray, table: np.ndarray) -> np.ndarr
     alive = np.searchsorted(-left, -np.arange(1, SEGMENT + 1), side="right")
     state = np.zeros(len(at), np.int64)
     count = np.ones(len(at), np.int64)
-    root = table[0].astype(np.int64)
     for step in range(int(left[0]) if len(left) else 0):
         n = int(alive[step])
         symbol = codes[at[:n] + step]
-        nxt = flat[state[:n] * symbols + symbol]
+        nxt = known.next(state[:n], symbol)
         stop = np.flatnonzero(nxt == 0)
         if step:
             count[stop] += 1
-        nxt[stop] = root[symbol[stop]]
+        nxt[stop] = known.root[symbol[stop]]
         state[:n] = nxt
     return np.bincount(owner, weights=count, minlength=len(sizes))
 
