@@ -261,8 +261,9 @@ def test_hostile_texts_are_bounded():
     assert secrets.worked_off(b64(gz(SECRET)))[3]
 
 
-def test_secrets_of_a_table_are_those_of_the_patterns(spark, sf_dir):
+def test_secrets_of_a_table_are_those_of_the_patterns(spark):
     """op10's contract columns over its whole table, by the three patterns alone."""
+    sf_dir = "/root/testdata/sf0.01"
     kinds = [
         ("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A), 2, 6),
         ("access", re.compile("AKIA[A-Z0-9]+"), 0, 20),
@@ -270,7 +271,7 @@ def test_secrets_of_a_table_are_those_of_the_patterns(spark, sf_dir):
     ]
     found = {r["doc_id"]: r for r in queries.op10_secrets(spark, sf_dir).collect()}
     rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
-    assert len(found) == len(rows) and any(r["n_assign"] for r in found.values())
+    assert len(found) == len(rows) and any(r["spans"] for r in found.values())
     for doc_id, text in rows:
         spans, counts = [], []
         for rank, (kind, pattern, group, least) in enumerate(kinds):
