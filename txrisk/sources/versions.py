@@ -33,6 +33,11 @@ class State:
     folders: dict[str, list[int]] = field(default_factory=dict)
     facts: dict = field(default_factory=dict)
 
+    def pattern(self) -> str:
+        """All the folders as one path pattern, so that a reader plans one scan."""
+        parts = [f"{f}/{BUCKET}={b}" for f, bs in sorted(self.folders.items()) for b in bs]
+        return f"{self.root}/{{{','.join(parts)}}}"
+
     def paths(self) -> list[str]:
         return [f"{self.root}/{f}/{BUCKET}={b}" for f, bs in sorted(self.folders.items()) for b in bs]
 
@@ -69,9 +74,9 @@ def point_to(spark: SparkSession, table: str, state: State, columns: StructType)
     """Make ``state`` the current version: the one step that readers see."""
     names = ", ".join(f"`{f.name}`" for f in columns)
     empty = ", ".join(f"CAST(NULL AS {f.dataType.simpleString()}) AS `{f.name}`" for f in columns)
-    parts = [f"SELECT {names} FROM parquet.`{path}`" for path in state.paths()] or [f"SELECT {empty} WHERE false"]
+    rows = f"SELECT {names} FROM parquet.`{state.pattern()}`" if state.folders else f"SELECT {empty} WHERE false"
     stored = json.dumps(state.__dict__).replace("\\", "\\\\").replace("'", "\\'")
-    spark.sql(f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{STATE}' = '{stored}') AS " + " UNION ALL ".join(parts))
+    spark.sql(f"CREATE OR REPLACE VIEW {table} TBLPROPERTIES ('{STATE}' = '{stored}') AS {rows}")
 
 
 def publish(
