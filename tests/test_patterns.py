@@ -141,3 +141,20 @@ def test_drift_is_the_sum_of_what_days_are_above(spark):
     assert {(r["user_id"], (r["day"] - START.date()).days, r["drift_up"], r["drift_down"]) for r in found} == want
     assert {u for u, *_ in want} == {1, 2}
     assert patterns.behaviour_drift(frame(spark, *rows).limit(0)).count() == 0
+
+
+def test_meetings_of_sets_are_bits_by_time(spark, monkeypatch):
+    """Three users in 130 hours, two of them in 65 more, in an order that is not that of time."""
+    hours = [k * 37 % 195 for k in range(195)]
+    rows = [(u, h, "P") for h in hours for u in ((1, 2, 3) if 20 <= h < 150 else (1, 2))]
+    tx = frame(spark, *[row(k, user=u, when=3600.0 * h, country=c) for k, (u, h, c) in enumerate(rows)])
+    made = []
+    whole = patterns.stage
+    monkeypatch.setattr(patterns, "stage", lambda df, name: made.append(whole(df, name)) or made[-1])
+    found = {tuple(r["users"]): r for r in patterns.recurring_groups(tx, 10).collect()}
+    assert {u: r["meetings"] for u, r in found.items()} == {(1, 2): 195, (1, 3): 130, (2, 3): 130, (1, 2, 3): 130}
+    hour = {u: [(r[c] - START).total_seconds() // 3600 for c in ("first_meeting", "last_meeting")] for u, r in found.items()}
+    assert hour == {(1, 2): [0, 194], (1, 3): [20, 149], (2, 3): [20, 149], (1, 2, 3): [20, 149]}
+    # Larger sets come from the masks of their parts, not from lists of slots.
+    assert all(df.columns == ["a", "users", "later"] for df in made[1:])
+    assert {len(x["mask"]) for r in made[1].collect() for x in r["later"]} == {3, 4} or made[1].count() == 2
