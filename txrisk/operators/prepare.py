@@ -6,13 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from txrisk.operators.skew import split_hot
 from txrisk.schema import TRANSACTIONS
+from txrisk.spec import SkewPolicy
 
 ID = "transaction_id"
 BOOLEAN_WORDS = {"true": "1", "false": "0"}
 DECIMAL_TEXT = T.DecimalType(38, 6)  # whole numbers may be written as 12.0
 #: A number as text: the digits before the point, those after it, the exponent.
 NUMBER = r"^[\x00-\x20]*[+-]?([0-9]*)(?:\.([0-9]*))?(?:[eE]([+-]?[0-9]+))?[\x00-\x20]*$"
+#: Texts that Spark's own cast takes for the same whole number, of so few digits that they fit the type.
+PLAIN = r"\A[+-]?[0-9]{1,%d}\z"
+PLAIN_DIGITS = {T.ByteType: 2, T.ShortType: 4, T.IntegerType: 9, T.LongType: 18}
 FRACTION = r"^[\x00-\x20]*[+-]?[0-9]*\.0*[1-9][0-9]*[\x00-\x20]*$"
 
 
@@ -21,24 +26,30 @@ def _typed(df: DataFrame, field: T.StructField, lenient: bool) -> Column:
     if have == field.dataType:
         return column
     steps = [field.dataType]
-    if isinstance(have, T.StringType) and isinstance(field.dataType, T.IntegralType):
-        word = F.lower(F.trim(column))
-        for text, number in BOOLEAN_WORDS.items():
-            column = F.when(word == text, number).otherwise(column)
+    whole = isinstance(field.dataType, T.IntegralType)
+    if whole and isinstance(have, T.StringType | T.FractionalType):
         steps.insert(0, DECIMAL_TEXT)
-    elif isinstance(have, T.FractionalType) and isinstance(field.dataType, T.IntegralType):
-        steps.insert(0, DECIMAL_TEXT)
-    if len(steps) > 1:
         # Before the decimal cast, which rounds.
-        raw = F.col(field.name)
-        fraction = _has_fraction(raw) if isinstance(have, T.StringType) else raw % 1 != 0
-        refused = None if lenient else _not_whole(raw, field.name)
+        fraction = _has_fraction(column) if isinstance(have, T.StringType) else column % 1 != 0
+        refused = None if lenient else _not_whole(column, field.name)
         column = F.when(fraction, refused).otherwise(column)
     for step in steps:
         column = column.try_cast(step) if lenient else column.cast(step)
+    if whole and isinstance(have, T.StringType):
+        column = _quickly(F.col(field.name), field.dataType, column, lenient)
     return column
 
 
+def _quickly(text: Column, kind: T.DataType, other: Column, lenient: bool) -> Column:
+    """``other`` for the few texts that need it: decimals are slow, and slowest where a text is no number."""
+    value = F.when(text.rlike(PLAIN % PLAIN_DIGITS[type(kind)]), text.try_cast(kind))
+    word = F.lower(F.trim(text))
+    for name, number in BOOLEAN_WORDS.items():
+        value = value.when(word == name, F.lit(number).cast(kind))
+    # Without a digit of any script it is no number; a strict cast says so itself.
+    return value.when(text.rlike(r"\p{Nd}"), other) if lenient else value.otherwise(other)
+
+
 def _not_whole(number: Column, name: str) -> Column:
     return F.raise_error(F.concat(F.lit(f"{name} is not a whole number: "), number.cast("string")))
 
@@ -126,13 +137,30 @@ def dedup_by_id(df: DataFrame, null_ids: str = "keep") -> DataFrame:
     return kept.unionByName(df.filter(F.col(ID).isNull()))
 
 
-def dedup_audit(df: DataFrame) -> DataFrame:
+def dedup_audit(df: DataFrame, policy: SkewPolicy = SkewPolicy()) -> DataFrame:
     """What ``dedup_by_id`` removes: each distinct rejected content with its number
-    of removed copies, and whether it conflicts with the row that is kept."""
+    of removed copies, and whether it conflicts with the row that is kept.
+
+    Rows are shuffled once, by their id; only ids that are hot by ``policy`` are not, see ``_audit_of_hot``."""
+    ordinary, hot = split_hot(df.filter(F.col(ID).isNotNull()), ID, policy)
     columns = df.columns
-    contents = (
-        df.filter(F.col(ID).isNotNull()).groupBy(*columns).agg(F.count("*").alias("_copies"))
+    own = Window.partitionBy(ID).orderBy(*_order(df))
+    kept = F.first(F.struct(*columns)).over(own)
+    removed = (
+        ordinary.withColumns({"_kept": kept, "_rn": F.row_number().over(own)})
+        .filter("_rn > 1")
+        .select(*columns, (~F.struct(*columns).eqNullSafe(F.col("_kept"))).alias("_conflict"))
     )
+    audit = removed.groupBy(*columns).agg(
+        F.count("*").alias("removed_copies"), F.bool_or("_conflict").alias("is_conflict")
+    )
+    return audit.unionByName(_audit_of_hot(hot))
+
+
+def _audit_of_hot(df: DataFrame) -> DataFrame:
+    """``dedup_audit`` of ids with any number of rows: no task gets all the rows of one."""
+    columns = df.columns
+    contents = df.groupBy(*columns).agg(F.count("*").alias("_copies"))
     # An id with many contents cannot all go to one window: the kept content is
     # found with map-side reduction and the contents are compared by a join.
     first = F.row_number().over(Window.partitionBy(ID).orderBy(*_order(df)))
