@@ -338,3 +338,14 @@ def test_vocabulary_pieces_round_trip():
     table = bpe.pieces(source)
     assert len(table) == len(json.loads(source)["model"]["vocab"]) + 1
     assert {bytes([b]) for b in range(256)} <= set(table.values())
+
+
+def test_good_documents_are_kept_without_a_join(spark):
+    texts = ["plain words of a quiet sentence " * 5, "$$$ BUY NOW!!! " * 9, None, ""]
+    docs = spark.createDataFrame([(k, texts[k % 4]) for k in range(60)] + [(None, texts[1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(k, int(k % 4 != 1)) for k in range(60)], "doc_id long, quality int")
+    good = quality.keep_good(docs, labels)
+    assert "Join" not in good._jdf.queryExecution().optimizedPlan().toString()
+    bad = quality.quality_scores(docs, labels).filter("predicted = 0").select("doc_id").collect()
+    ids = sorted(str(r["doc_id"]) for r in docs.collect())
+    assert bad and sorted(str(r["doc_id"]) for r in good.collect() + bad) == ids

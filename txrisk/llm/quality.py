@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txrisk.llm.frames import left_out, store
+from txrisk.llm.frames import store
 
 #: Weight of the pooled variances in a class covariance, and the least variance.
 SHRINKAGE = 0.1
@@ -152,6 +152,27 @@ def training_row(id_column: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_column).cast("string").cast("binary")) % 4 != 2, F.lit(False))
 
 
+def _fitted(docs: DataFrame, labels: DataFrame, text: str, id_column: str) -> tuple[DataFrame, Model | float]:
+    """The stored statistics of ``docs`` and the model of those whose labels may be learned."""
+    found = store(document_statistics(docs, text, id_column), "statistics")
+    learned = labels.filter(training_row("doc_id")).select("doc_id", F.col("quality").alias("label"))
+    return found, fit(found, learned)
+
+
+def _rejected(text: Column, model: Model | float, threshold: float) -> Column:
+    """Whether the classifier rejects a text, judged where its row is."""
+
+    @F.arrow_udf("boolean")
+    def judge(texts: pa.Array) -> pa.Array:
+        if isinstance(model, float):
+            s = np.full(len(texts), model)
+        else:
+            s = model.scores(np.array([statistics(t) for t in texts.to_pylist()], float).reshape(-1, len(STATISTICS)))
+        return pa.array(s < threshold)
+
+    return judge(text.cast("binary"))
+
+
 def quality_scores(
     docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_column: str = "doc_id"
 ) -> DataFrame:
@@ -161,10 +182,9 @@ def quality_scores(
     that repeat an id count each. Null and empty texts have the statistics of the empty text and a
     score like any other. Language, source and ids never enter a score. An empty table gives no rows.
     """
-    found = store(document_statistics(docs, text, id_column), "statistics")
-    learned = labels.filter(training_row("doc_id")).select("doc_id", F.col("quality").alias("label"))
+    found, model = _fitted(docs, labels, text, id_column)
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return score(found, fit(found, learned)).select(
+    return score(found, model).select(
         "doc_id", held.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "text_hash"
     )
 
@@ -174,6 +194,6 @@ def keep_good(
 ) -> DataFrame:
     """``docs`` without the rows that the classifier rejects; the columns as they are, whatever their names.
     Rows of one id and text go or stay together; an empty table gives no rows."""
-    found = quality_scores(docs, labels, threshold, text, id_column).filter("predicted = 0")
-    bad = store(found.select("doc_id", "text_hash").distinct(), "rejected")
-    return left_out(docs, bad, F.col(f"`{id_column}`").cast("long"), F.xxhash64(text))
+    _, model = _fitted(docs, labels, text, id_column)
+    # No join with the scores: it would shuffle every text to drop a few.
+    return docs.filter(~_rejected(F.col(f"`{text}`"), model, threshold))
