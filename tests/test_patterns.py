@@ -158,3 +158,27 @@ def test_meetings_of_sets_are_bits_by_time(spark, monkeypatch):
     # Larger sets come from the masks of their parts, not from lists of slots.
     assert all(df.columns == ["a", "users", "later"] for df in made[1:])
     assert {len(x["mask"]) for r in made[1].collect() for x in r["later"]} == {3, 4} or made[1].count() == 2
+
+
+@pytest.mark.parametrize("short", [0, 8])
+@pytest.mark.parametrize("most,stored", [(2, 2), (4, 2), (5, 3)])
+def test_largest_sets_are_made_while_they_are_read(spark, monkeypatch, short, most, stored):
+    """Six users over three words of a mask, in compiled code and in lambdas: only levels that two others are
+    made from are stored, and every set has its meetings, the first and the last of them."""
+    rows = [(u, h, "P") for h in range(150) for u in range(1, 7) if h * 7 % (u + 2) < 3 or h in (0, 61, 62, 149)]
+    tx = frame(spark, *[row(k, user=u, when=3600.0 * h, country=c) for k, (u, h, c) in enumerate(rows)],
+               row(9000, user=None), row(9001, user=1, when=None))
+    made = []
+    whole = patterns.stage
+    monkeypatch.setattr(patterns, "stage", lambda df, name: made.append(whole(df, name)) or made[-1])
+    monkeypatch.setattr(patterns, "SHORT", short)
+    found = patterns.recurring_groups(tx, 5, most).collect()
+    assert len(made) == stored
+    hours: dict = {}
+    for u, h, _ in rows:
+        hours.setdefault(u, set()).add(h)
+    sets = {s: set.intersection(*[hours[u] for u in s]) for n in range(2, most + 1) for s in combinations(range(1, 7), n)}
+    want = {(s, len(s), len(met), min(met), max(met)) for s, met in sets.items() if len(met) >= 5}
+    hour = lambda at: (at - START).total_seconds() // 3600
+    assert len(found) == len(want)
+    assert {(tuple(r["users"]), r["n_users"], r["meetings"], hour(r["first_meeting"]), hour(r["last_meeting"])) for r in found} == want
